@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenload.llm import host_reputation, line_dedup, mixing, sharding
+from evenload.llm import host_reputation, line_dedup, mixing, pieces, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,33 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def model_bytes() -> bytes:
+    """The tokenizer's file, read on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of documents and their decoded texts, as digests."""
+    model = model_bytes()
+    out = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return out.withColumn("decoded", pieces.decode(model, F.col("ids"))).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.graded(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "p_toxic", "severity", "toxic")
+
+
 #: The rules of the url query.
 RULES = (
     host_reputation.Rule("allow", "com", "/"),
@@ -160,6 +187,8 @@ from doc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_sharding": op3_sharding,
+    "op6_pieces": op6_pieces,
+    "op7_toxicity": op7_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
 }
