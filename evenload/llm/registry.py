@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenload.llm import host_reputation, line_dedup, mixing, pieces, sharding, toxicity
+from evenload.llm import fingerprints, host_reputation, line_dedup, mixing, pieces, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "p_toxic", "severity", "toxic")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents, of their edited texts, and how near they and the next documents are."""
+    return fingerprints.near_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: The rules of the url query.
 RULES = (
     host_reputation.Rule("allow", "com", "/"),
@@ -189,6 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op6_pieces": op6_pieces,
     "op7_toxicity": op7_toxicity,
+    "op8_fingerprints": op8_fingerprints,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
 }
