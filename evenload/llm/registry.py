@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenload.llm import fingerprints, host_reputation, line_dedup, mixing, pieces, sharding, toxicity
+from evenload.llm import fingerprints, host_reputation, line_dedup, mixing, near_text, pieces, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document; kept: it stands for its class."""
+    out = near_text.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("_id").alias("doc_id"), "class_id", F.expr("_id <=> class_id").alias("kept"))
+
+
 def model_bytes() -> bytes:
     """The tokenizer's file, read on the driver."""
     import public_tokenizers
@@ -192,6 +198,7 @@ from doc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_sharding": op3_sharding,
+    "op5_near_text": op5_near_text,
     "op6_pieces": op6_pieces,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
