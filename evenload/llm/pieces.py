@@ -17,12 +17,14 @@ empty text; other columns pass through; repeated rows are encoded row by row.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
 from evenload.llm.words import batches
@@ -141,48 +143,54 @@ def loaded(model: bytes) -> Pieces:
     return Pieces(model)
 
 
-def encode(model: bytes, text: Column, spans: bool = True) -> Column:
-    """struct(ids, begins, ends): spans are byte offsets of the text; without them begins and ends are null."""
+NEW = (
+    T.StructField("ids", T.ArrayType(T.IntegerType())),
+    T.StructField("begins", T.ArrayType(T.IntegerType())),
+    T.StructField("ends", T.ArrayType(T.IntegerType())),
+)
+DECODED = T.StructField("decoded", T.StringType())
 
-    @F.arrow_udf("struct<ids: array<int>, begins: array<int>, ends: array<int>>")
-    def encoded(column: pa.Array) -> pa.Array:
-        pieces, texts = loaded(model), [t or "" for t in column.to_pylist()]
-        ids, begins, ends, counts = [], [], [], [0]
-        for a, b in batches(texts):
-            for t, own in zip(texts[a:b], pieces.processor.encode(texts[a:b], num_threads=1), strict=True):
-                ids.append(np.array(own, np.int32))
-                counts.append(len(own))
-                if spans:
-                    first, last = pieces.spans(t, ids[-1])
-                    begins.append(first.astype(np.int32))
-                    ends.append(last.astype(np.int32))
-        offsets = pa.array(np.cumsum(counts), pa.int32())
 
-        def lists(parts: list[np.ndarray]) -> pa.Array:
-            if not spans and parts is not ids:
-                return pa.nulls(len(texts), pa.list_(pa.int32()))
-            return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else [], pa.int32()))
+def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """docs with ids, begins and ends added, and on demand decoded, the text of the ids.
 
-        return pa.StructArray.from_arrays([lists(ids), lists(begins), lists(ends)], ["ids", "begins", "ends"])
+    begins and ends are byte offsets of the text. Columns of these names are
+    replaced. Results leave a task in small batches, so memory follows the
+    longest text and not the number of rows.
+    """
+    new = [*NEW, *[DECODED] * decoded]
+    kept = [c for c in docs.columns if c not in [f.name for f in new] or c == text_col]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *new])
 
-    return encoded(text)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = loaded(model)
+        for part in parts:
+            texts = [t or "" for t in part.column(text_col).to_pylist()]
+            for a, b in batches(texts):
+                ids = pieces.processor.encode(texts[a:b], num_threads=1, return_type="numpy")
+                spans = [pieces.spans(t, own) for t, own in zip(texts[a:b], ids, strict=True)]
+                offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+
+                def lists(rows: list[np.ndarray], offsets: pa.Array = offsets) -> pa.Array:
+                    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows).astype(np.int32)))
+
+                columns = [lists(ids), lists([s[0] for s in spans]), lists([s[1] for s in spans])]
+                if decoded:
+                    columns.append(pa.array(pieces.processor.decode([i.tolist() for i in ids], num_threads=1), pa.string()))
+                old = part.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(old.column(c) for c in kept), *columns], schema.fieldNames())
+
+    return docs.select(*kept).mapInArrow(run, schema)
 
 
 def decode(model: bytes, ids: Column) -> Column:
     """The text of ids, by the library's decoder."""
 
     @F.arrow_udf("string")
-    def decoded(column: pa.Array) -> pa.Array:
+    def texts(column: pa.Array) -> pa.Array:
         processor, out = loaded(model).processor, []
         for i in range(0, len(column), 64):
             out += processor.decode([x or [] for x in column.slice(i, 64).to_pylist()], num_threads=1)
         return pa.array(out, pa.string())
 
-    return decoded(ids)
-
-
-def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text", spans: bool = True) -> DataFrame:
-    """docs with ids, begins and ends added."""
-    return docs.withColumn("_p", encode(model, F.col(text_col), spans)).select(
-        *docs.columns, "_p.ids", "_p.begins", "_p.ends"
-    )
+    return texts(ids)

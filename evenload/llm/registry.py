@@ -69,9 +69,8 @@ def model_bytes() -> bytes:
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of documents and their decoded texts, as digests."""
-    model = model_bytes()
-    out = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return out.withColumn("decoded", pieces.decode(model, F.col("ids"))).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_documents(docs, model_bytes(), decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
