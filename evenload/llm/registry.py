@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenload.llm import fingerprints, host_reputation, line_dedup, mixing, near_text, pieces, sharding, toxicity
+from evenload.llm import fingerprints, host_reputation, line_dedup, mixing, near_text, pieces, secret_scan, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,22 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents: base spans, and those that the randomness battery adds."""
+    out = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    counts = [
+        F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}")
+        for k in secret_scan.KINDS[:3]
+    ]
+    return out.select(
+        "doc_id",
+        *counts,
+        F.sha2(F.encode(secret_scan.joined(base), "UTF-8"), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document; kept: it stands for its class."""
     out = near_text.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -197,6 +213,7 @@ from doc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_sharding": op3_sharding,
+    "op4_secrets": op4_secrets,
     "op5_near_text": op5_near_text,
     "op6_pieces": op6_pieces,
     "op7_toxicity": op7_toxicity,
