@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenload.llm import fingerprints, host_reputation, line_dedup, mixing, near_text, pieces, secret_scan, sharding, toxicity
+from evenload.llm import fingerprints, host_reputation, line_dedup, mixing, near_text, near_vectors, pieces, secret_scan, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,31 @@ from marked group by rid, doc_id
 """
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between embeddings of one label at a cosine of 0.93 or more."""
+    out, _ = near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("_id").alias("vec_id"), "n_links", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+
+
+OP2_SQL = r"""
+with recursive good as (
+  select vec_id, label, [x::double for x in embedding] as v from embeddings
+  where label is not null and embedding is not null
+    and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
+    and len([x for x in embedding if x <> 0]) > 0),
+link as (
+  select a.vec_id as a, b.vec_id as b from good a join good b
+    on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+least as (select a, min(b) as b from reach group by a),
+counts as (select a, count(*) as n from link group by a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) as component_id,
+  e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) as kept
+from embeddings e left join counts c on c.a = e.vec_id left join least l on l.a = e.vec_id
+"""
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 shards of near equal bytes over documents."""
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -212,6 +237,7 @@ from doc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_near_vectors": op2_near_vectors,
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
     "op5_near_text": op5_near_text,
@@ -222,4 +248,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op9_url_filter": OP9_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_near_vectors": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_mixing": OP10_SQL}
