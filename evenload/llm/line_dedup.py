@@ -36,14 +36,13 @@ def line_key(line: Column) -> Column:
     return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def with_row_identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds _r1 and _r2, a 128-bit identity of (id, text); repeated rows share it."""
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_row (all columns), and _r1 and _r2, a 128-bit identity of (id, text) that repeated rows share."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns(
-        {
-            "_r1": F.xxhash64(F.col(id_col), text),
-            "_r2": F.xxhash64(F.lit(7), text, F.col(id_col)),
-        }
+    return docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.xxhash64(F.col(id_col), text).alias("_r1"),
+        F.xxhash64(F.lit(7), text, F.col(id_col)).alias("_r2"),
     )
 
 
@@ -52,19 +51,19 @@ def keep_bitmaps(
 ) -> DataFrame:
     """One row for each document that loses lines.
 
-    Columns: _r1, _r2 (see with_row_identity), n_dropped long, and keep, the
+    Columns: _r1, _r2 (see packed), n_dropped long, and keep, the
     compressed bitmap: array of (skip, word), where skip counts words of 64
     lines that are all kept and word has a set bit for each line kept. Lines
     after the last word are kept.
     """
     n = shuffle_partitions(docs.sparkSession)
     lines = (
-        with_row_identity(docs.select(id_col, text_col), id_col, text_col)
+        packed(docs, id_col, text_col)
         .select(
             "_r1",
             "_r2",
-            F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
-            F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("pos", "line"),
+            F.coalesce(F.col(f"_row.`{id_col}`").cast("long"), F.lit(LAST)).alias("doc"),
+            F.posexplode(F.split(F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")), "\n", -1)).alias("pos", "line"),
         )
         .withColumn("key", line_key(F.col("line")))
         .where(F.length("key") >= min_chars)
@@ -94,7 +93,7 @@ def keep_bitmaps(
         .select("_r1", "_r2", (F.col("pos") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, pos % 64)").alias("bit"))
     )
     words = drops.repartition("_r1", "_r2").groupBy("_r1", "_r2", "at").agg(F.expr("bit_or(bit)").alias("bits"))
-    packed = words.groupBy("_r1", "_r2").agg(
+    by_row = words.groupBy("_r1", "_r2").agg(
         F.sum(F.expr("bit_count(bits)")).alias("n_dropped"),
         F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("words"),
     )
@@ -102,17 +101,15 @@ def keep_bitmaps(
         "transform(words, (x, i) -> named_struct("
         "'skip', x.at - if(i = 0, 0, words[greatest(i, 1) - 1].at + 1), 'word', ~x.bits))"
     )
-    return packed.select("_r1", "_r2", F.col("n_dropped").cast("long"), coded.alias("keep"))
+    return by_row.select("_r1", "_r2", F.col("n_dropped").cast("long"), coded.alias("keep"))
 
 
-def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, runs: int = 32
-) -> DataFrame:
-    """docs with n_lines, n_dropped, keep (null: all lines stay) and kept_text added."""
+def marked(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 10, runs: int = 32) -> DataFrame:
+    """_row (all columns), n_lines, n_dropped, keep and kept_text for each row of docs."""
     marks = keep_bitmaps(docs, id_col, text_col, min_chars, runs).withColumn(
         "_words", F.expr("flatten(transform(keep, x -> concat(array_repeat(-1L, x.skip), array(x.word))))")
     )
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"_row.`{text_col}`"), F.lit(""))
     kept = F.array_join(
         F.filter(
             F.split(text, "\n", -1),
@@ -123,9 +120,8 @@ def dedup_lines(
         ),
         "\n",
     )
-    joined = with_row_identity(docs, id_col, text_col).join(marks.hint("shuffle_hash"), ["_r1", "_r2"], "left")
-    return joined.select(
-        *docs.columns,
+    return packed(docs, id_col, text_col).join(marks.hint("shuffle_hash"), ["_r1", "_r2"], "left").select(
+        "_row",
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         "keep",
@@ -133,11 +129,23 @@ def dedup_lines(
     )
 
 
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, runs: int = 32
+) -> DataFrame:
+    """docs with n_lines, n_dropped, keep (null: all lines stay) and kept_text added, which replace equal names."""
+    new = ["n_lines", "n_dropped", "keep", "kept_text"]
+    out = marked(docs, id_col, text_col, min_chars, runs)
+    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in new], *new)
+
+
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated lines gone from the text, in the same columns; a null text stays null."""
-    out = dedup_lines(docs.select(id_col, text_col, *[c for c in docs.columns if c not in (id_col, text_col)]), id_col, text_col)
-    new = F.when(F.col(text_col).isNotNull(), F.col("kept_text"))
-    cols = {c: F.col(c) for c in docs.columns} | {text_col: new}
+    """docs with repeated lines gone from the text, in the same columns; a null text stays null.
+
+    n_chars, if there, follows the text.
+    """
+    cols = {c: F.col(f"_row.`{c}`") for c in docs.columns}
+    cols[text_col] = text = F.when(cols[text_col].isNotNull(), F.col("kept_text"))
     if "n_chars" in cols:
-        cols["n_chars"] = F.when(F.col("n_dropped") > 0, F.length(new).cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[v.alias(k) for k, v in cols.items()])
+        length = F.length(text).cast(docs.schema["n_chars"].dataType)
+        cols["n_chars"] = F.when(F.col("n_dropped") > 0, length).otherwise(cols["n_chars"])
+    return marked(docs, id_col, text_col).select(*[v.alias(k) for k, v in cols.items()])

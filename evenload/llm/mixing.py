@@ -189,12 +189,12 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
         .groupBy("_key", F.col("size").alias("_size"))
         .agg(F.collect_list("draws").alias("_lots"))
     )
-    turn = docs.withColumns({"_key": permutation_key(seed, id_col), "_size": n_words(text_col)}).withColumn(
-        "_turn", F.expr("row_number() over (partition by _key, _size order by _key)")
-    )
+    turn = docs.select(
+        F.struct(*docs.columns).alias("_row"), permutation_key(seed, id_col).alias("_key"), n_words(text_col).alias("_size")
+    ).withColumn("_turn", F.expr("row_number() over (partition by _key, _size order by _key)"))
     drawn = turn.join(lots, ["_key", "_size"]).withColumn("_draw", F.explode(F.expr("get(_lots, _turn - 1)")))
     return drawn.select(
-        *docs.columns,
+        *[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("_shard", "_order")],
         F.col("_draw.shard").alias("_shard"),
         F.struct(F.col("_draw.order"), F.xxhash64(F.lit(seed), "_draw.pass", "_key").alias("within")).alias("_order"),
     )

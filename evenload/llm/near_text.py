@@ -337,5 +337,5 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     kept = named.where("_id <=> class_id").select(key(F.col("_id")).alias("_key"), F.col("node").alias("_node")).distinct()
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    own = docs.withColumns({"_key": key(F.col(id_col)), "_node": node}).join(kept, ["_key", "_node"])
-    return own.dropDuplicates(["_key", "_node"]).select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), key(F.col(id_col)).alias("_key"), node.alias("_node"))
+    return own.join(kept, ["_key", "_node"]).dropDuplicates(["_key", "_node"]).select("_row.*")

@@ -35,7 +35,7 @@ from evenload.llm.near_text import by_group, spanning_forest
 from evenload.scratch import materialize, shuffle_partitions
 
 THRESHOLD = 0.93
-NEIGHBOURS, ORDERS, WINDOW, CELL, BLOCK = 10, 8, 6, 2048, 512
+NEIGHBOURS, ORDERS, WINDOW, CELL, BLOCK = 10, 8, 6, 512, 512
 #: Single precision may misplace a similarity by this much; double precision decides.
 SLACK = 1e-4
 EDGES = "node long, nbr long, sim float"
@@ -117,7 +117,14 @@ def ordered_neighbours(nodes: DataFrame, n: int, first: int, orders: int) -> Dat
         nodes.select("node", "grp", "unit", F.posexplode(signatures(F.col("unit"))).alias("ord", "sig"))
         .withColumn("cell", F.shiftright("sig", 32 - bits) if bits else F.lit(0).cast("long"))
     )
-    keys = ["grp", "ord", "cell"]
+    # A family of very close vectors may fill a cell: beyond two sizes it is dealt at random, differently in each order.
+    crowded = (
+        dealt.groupBy("grp", "ord", "cell").agg(F.count("*").alias("_rows")).where(F.col("_rows") > 2 * CELL)
+    )
+    dealt = dealt.join(crowded, ["grp", "ord", "cell"], "left").withColumn(
+        "part", F.expr(f"coalesce(pmod(xxhash64(node, ord), cast(ceil(_rows / {CELL}D) as long)), 0L)")
+    )
+    keys = ["grp", "ord", "cell", "part"]
 
     def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(parts, keys):

@@ -193,13 +193,11 @@ SEVERITY = "case when toxic = 0 then 0 when toxic = 1 and quality = 0 then 2 whe
 
 
 def graded(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with p_toxic, severity and toxic (p_toxic >= 0.5) added."""
+    """docs with p_toxic, severity and toxic (p_toxic >= 0.5) added, which replace equal names."""
     model = fit(docs, labels, F.expr(SEVERITY), id_col=id_col, text_col=text_col, **options)
-    return (
-        docs.withColumn("_score", score(model, F.col(text_col)))
-        .select(*docs.columns, "_score.p_toxic", "_score.severity")
-        .withColumn("toxic", F.col("p_toxic") >= 0.5)
-    )
+    scored = docs.select(F.struct(*docs.columns).alias("_row"), score(model, F.col(text_col)).alias("_score"))
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("p_toxic", "severity", "toxic")]
+    return scored.select(*kept, "_score.p_toxic", "_score.severity", (F.col("_score.p_toxic") >= 0.5).alias("toxic"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
