@@ -121,59 +121,80 @@ def fit_ordinal(features: np.ndarray, grades: np.ndarray, ridge: float = 1.0) ->
 
 
 def distinct_words(text: Column) -> Column:
-    """The distinct word hashes of a text, as little-endian bytes."""
+    """The distinct word hashes of a text, as signed 64-bit integers."""
 
-    @F.arrow_udf("binary")
-    def packed(column: pa.Array) -> pa.Array:
+    @F.arrow_udf("array<bigint>")
+    def listed(column: pa.Array) -> pa.Array:
         texts, out = column.to_pylist(), []
         for a, b in batches(texts):
             hashes, offsets = hash_words(texts[a:b], bare=True)
-            out += [np.unique(hashes[offsets[i] : offsets[i + 1]]).tobytes() for i in range(b - a)]
-        return pa.array(out, pa.binary())
+            out += [np.unique(hashes[offsets[i] : offsets[i + 1]]).view(np.int64) for i in range(b - a)]
+        return pa.array(out, pa.list_(pa.int64()))
 
-    return packed(text)
+    return listed(text)
+
+
+def among(words: Column, chosen: np.ndarray) -> Column:
+    """The places in chosen (sorted, signed) of those words that are there."""
+
+    @F.arrow_udf("array<int>")
+    def found(column: pa.Array) -> pa.Array:
+        out = []
+        for row in column:
+            own = np.array(row.values, np.int64)
+            at = np.minimum(np.searchsorted(chosen, own), len(chosen) - 1)
+            out.append(at[chosen[at] == own].astype(np.int32))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return found(words)
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, grade: Column, max_rows: int = 12_000, min_docs: int = 5, ridge: float = 0.05,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, grade: Column, max_rows: int = 12_000, max_words: int = 512, min_docs: int = 5,
+    ridge: float = 0.05, id_col: str = "doc_id", text_col: str = "text",
 ) -> OrdinalModel:
-    """The model from at most max_rows labels; grade is a Column over labels (0, 1, ..., or null)."""
+    """The model from at most max_rows labels and max_words words; grade is a Column over labels (0, 1, ..., or null).
+
+    Words are counted where they lie; the driver gets the chosen ones and their places.
+    """
     chosen = (
         labels.select(F.col(id_col).alias("_id"), grade.cast("int").alias("grade"))
         .where("_id is not null and grade is not null")
         .orderBy(F.xxhash64("_id"), "_id", "grade")
         .limit(max_rows)
     )
-    rows = (
+    sample = materialize(
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .join(F.broadcast(chosen), "_id")  # at most max_rows rows
-        .select("grade", distinct_words(F.col("_text")).alias("words"))
+        .select("grade", distinct_words(F.col("_text")).alias("words")),
+        "toxicity",
+    )
+    grades = {r.grade: r.n for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    if len(grades) < 2:
+        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    n = sum(grades.values())
+    p = 1 - grades.get(0, 0) / n
+    counted = materialize(
+        sample.select((F.col("grade") > 0).cast("int").alias("toxic"), F.explode("words").alias("word"))
+        .groupBy("word")
+        .agg(F.count("*").alias("held"), F.sum("toxic").alias("both"))
+        .where((F.col("held") >= min_docs) & (F.col("held") < n)),
+        "words",
     )
-    sample = materialize(rows, "toxicity").collect()
-    empty = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    grades = np.array([r.grade for r in sample], np.int64)
-    if not len(grades) or grades.min() == grades.max():
-        return empty
-    sets = [np.frombuffer(r.words, np.uint64) for r in sample]
-    flat = np.concatenate(sets)
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    names, place = np.unique(flat, return_inverse=True)
-    toxic = grades > 0
-    held = np.bincount(place, minlength=len(names))
-    both = np.bincount(place, weights=toxic[doc], minlength=len(names))
-    n, p = len(grades), toxic.mean()
-    z = (both - held * p) / np.sqrt(np.maximum(held * p * (1 - p) * (1 - held / n), 1e-9))
-    usable = (held >= min_docs) & (held < n)
-    usable &= np.abs(z) > np.sqrt(2 * np.log(max(2, usable.sum())))
-    picked = np.flatnonzero(usable)
-    column = np.full(len(names), -1)
-    column[picked] = np.arange(len(picked))
-    x = np.zeros((n, len(picked)))
-    seen = column[place] >= 0
-    x[doc[seen], column[place][seen]] = 1
-    weights, thresholds = fit_ordinal(x, grades, ridge)
-    return OrdinalModel(names[picked], weights, thresholds)
+    bar = float(np.sqrt(2 * np.log(max(2, counted.count()))))
+    z = F.expr(f"abs(both - held * {p!r}D) / sqrt(greatest(held * {p * (1 - p)!r}D * (1 - held / {n}D), 1e-9))")
+    best = counted.withColumn("z", z).where(F.col("z") > bar).orderBy(F.desc("z"), "word").limit(max_words).collect()
+    names = np.sort(np.array([r.word for r in best], np.int64))
+    rows = sample.select("grade", among(F.col("words"), names).alias("at")).collect() if len(names) else []
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        x[i, r["at"]] = 1
+    y = np.array([r.grade for r in rows], np.int64)
+    if not len(names):
+        x, y = np.zeros((n, 0)), np.repeat(list(grades), list(grades.values()))
+    weights, thresholds = fit_ordinal(x, y, ridge)
+    order = np.argsort(names.view(np.uint64))
+    return OrdinalModel(names.view(np.uint64)[order], weights[order], thresholds)
 
 
 def score(model: OrdinalModel, text: Column) -> Column:
