@@ -64,10 +64,16 @@ def bucket_loads(loads: DataFrame, partitions: int) -> DataFrame:
     return every.join(summed, "pid", "left").select("pid", F.coalesce("load", F.lit(0.0)).alias("load"))
 
 
+def _frozen(value: object) -> object:
+    """A key value that can be compared and hashed: lists become tuples."""
+    return tuple(_frozen(v) for v in value) if isinstance(value, (list, tuple)) else value
+
+
 def collected(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> tuple[list[planners.KeyLoad], list[float]]:
     """The heaviest keys, a bounded number, and per bucket the load of all others."""
-    top = loads.orderBy(F.desc("weight"), *keys).limit(cfg.planned_keys).collect()
-    listed = [planners.KeyLoad(tuple(r[k] for k in keys), r.weight, r.bucket) for r in top]
+    movable = loads.dropna(subset=list(keys))  # null keys always stay in bucket 0
+    top = movable.orderBy(F.desc("weight"), *keys).limit(cfg.planned_keys).collect()
+    listed = [planners.KeyLoad(tuple(_frozen(r[k]) for k in keys), r.weight, r.bucket) for r in top]
     fixed = [0.0] * cfg.partitions
     for r in bucket_loads(loads, cfg.partitions).collect():
         fixed[r.pid] = r.load
