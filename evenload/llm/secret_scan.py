@@ -107,7 +107,7 @@ def _values(encoding: Column, body: Column) -> Column:
 
 def _alphabet_p(v: Column, n: Column, k: Column) -> Column:
     """Uniformity by symbol (sparse cells: exact mean and variance) and by class of symbol."""
-    counts = F.transform(F.array_distinct(v), lambda d: F.size(F.filter(v, lambda x: x == d)))
+    counts = F.transform(F.array_distinct(v), lambda d: F.size(F.filter(v, lambda x: x == d)).cast("double"))
     squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
     x2 = k / n * squares - n
     by_symbol = upper_tail((x2 - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
