@@ -20,7 +20,7 @@ from evenload.scratch import materialize, shuffle_partitions
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is below one half."""
+    """Documents whose probability of being toxic is below the model's cut."""
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

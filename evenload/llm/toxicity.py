@@ -5,7 +5,8 @@ P(grade <= k) = sigmoid(threshold_k - w x), where x marks which of the chosen
 words a text holds. Words are full 64-bit hashes (no buckets to collide in);
 chosen are those whose association with a grade above 0 passes the universal
 threshold sqrt(2 ln m) over m words. A text's score is its expected severity,
-the sum of P(grade >= k); it is toxic if P(grade >= 1) reaches 0.5.
+the sum of P(grade >= k). It is toxic if P(grade >= 1) reaches the model's cut:
+the middle of the gap that parts the fitted sample with the best F1.
 
 The fit sees at most ``max_rows`` labelled documents, those with the smallest
 hashes of their ids: the only bounded step. Scoring reads whole texts.
@@ -31,11 +32,12 @@ from evenload.scratch import materialize
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """words: sorted hashes; weights: one each; thresholds: ascending, one per grade above 0."""
+    """words: sorted hashes; weights: one each; thresholds: ascending, one per grade above 0; cut: P(grade >= 1) of toxic texts."""
 
     words: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 2.0
 
     def at_least(self, eta: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1..K, a column each."""
@@ -120,6 +122,16 @@ def fit_ordinal(features: np.ndarray, grades: np.ndarray, ridge: float = 1.0) ->
     return unpack(minimise(loss, start))
 
 
+def best_cut(eta: np.ndarray, toxic: np.ndarray) -> float:
+    """The linear score that parts toxic texts with the best F1, in the middle of its gap."""
+    order = np.argsort(-eta, kind="stable")
+    score, hits = eta[order], np.cumsum(toxic[order])
+    f1 = 2 * hits / (np.arange(1, len(eta) + 1) + toxic.sum())
+    f1[:-1][score[:-1] == score[1:]] = -1  # equal scores cannot be parted
+    at = int(np.argmax(f1))
+    return float((score[at] + score[min(at + 1, len(score) - 1)]) / 2)
+
+
 def distinct_words(text: Column) -> Column:
     """The distinct word hashes of a text, as signed 64-bit integers."""
 
@@ -194,7 +206,8 @@ def fit(
         x, y = np.zeros((n, 0)), np.repeat(list(grades), list(grades.values()))
     weights, thresholds = fit_ordinal(x, y, ridge)
     order = np.argsort(names.view(np.uint64))
-    return OrdinalModel(names.view(np.uint64)[order], weights[order], thresholds)
+    cut = 1 / (1 + np.exp(thresholds[0] - best_cut(x @ weights, y > 0)))
+    return OrdinalModel(names.view(np.uint64)[order], weights[order], thresholds, float(cut))
 
 
 def score(model: OrdinalModel, text: Column) -> Column:
@@ -214,14 +227,14 @@ SEVERITY = "case when toxic = 0 then 0 when toxic = 1 and quality = 0 then 2 whe
 
 
 def graded(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with p_toxic, severity and toxic (p_toxic >= 0.5) added, which replace equal names."""
+    """docs with p_toxic, severity and toxic (p_toxic at or above the model's cut) added, which replace equal names."""
     model = fit(docs, labels, F.expr(SEVERITY), id_col=id_col, text_col=text_col, **options)
     scored = docs.select(F.struct(*docs.columns).alias("_row"), score(model, F.col(text_col)).alias("_score"))
     kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("p_toxic", "severity", "toxic")]
-    return scored.select(*kept, "_score.p_toxic", "_score.severity", (F.col("_score.p_toxic") >= 0.5).alias("toxic"))
+    return scored.select(*kept, "_score.p_toxic", "_score.severity", (F.col("_score.p_toxic") >= model.cut).alias("toxic"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the toxic ones, in the same columns."""
     model = fit(docs, labels, F.expr(SEVERITY), id_col=id_col, text_col=text_col)
-    return docs.where(score(model, F.col(text_col))["p_toxic"] < 0.5)
+    return docs.where(score(model, F.col(text_col))["p_toxic"] < model.cut)
