@@ -42,16 +42,12 @@ def key_loads(
     combined: bool = False,
 ) -> DataFrame:
     """(keys, v1, v2, weight, bucket): estimated rows of each key, its load, and its hash bucket."""
-    v1 = estimated_rows(left, keys, cfg, combined).withColumnRenamed("v", "v1")
-    if right is None:
-        both = v1.withColumn("v2", F.lit(0.0))
-    else:
-        other = estimated_rows(right, keys, cfg, combined).withColumnRenamed("v", "v2")
-        names = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
-        both = v1.alias("_l").join(other.alias("_r"), reduce(lambda a, b: a & b, names), "full").select(
-            *[F.coalesce(f"_l.{k}", f"_r.{k}").alias(k) for k in keys],
-            F.coalesce("v1", F.lit(0.0)).alias("v1"), F.coalesce("v2", F.lit(0.0)).alias("v2"),
-        )
+    sides = [estimated_rows(left, keys, cfg, combined).select(*keys, F.col("v").alias("v1"), F.lit(0.0).alias("v2"))]
+    if right is not None:
+        sides.append(estimated_rows(right, keys, cfg, combined).select(*keys, F.lit(0.0).alias("v1"), F.col("v").alias("v2")))
+    both = reduce(lambda a, b: a.unionByName(b), sides)
+    if right is not None:
+        both = both.groupBy(*keys).agg(F.sum("v1").alias("v1"), F.sum("v2").alias("v2"))
     two = optype in JOIN_TYPES
     weight = key_weight(optype, F.col("v1"), F.col("v2") if two and right is not None else None, assume_symmetric)
     return both.withColumn("weight", weight).withColumn("bucket", hash_bucket(both, keys, cfg.partitions))
@@ -70,32 +66,45 @@ def _frozen(value: object) -> object:
 
 
 def collected(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> tuple[list[planners.KeyLoad], list[float]]:
-    """The heaviest keys, a bounded number, and per bucket the load of all others."""
-    movable = loads.dropna(subset=list(keys))  # null keys always stay in bucket 0
-    top = movable.orderBy(F.desc("weight"), *keys).limit(cfg.planned_keys).collect()
-    listed = [planners.KeyLoad(tuple(_frozen(r[k]) for k in keys), r.weight, r.bucket) for r in top]
+    """The heaviest keys of overloaded buckets, a bounded number, and per bucket the load of all other keys.
+
+    Without an overloaded bucket no key is listed, which is all a planner needs to move none.
+    """
     fixed = [0.0] * cfg.partitions
     for r in bucket_loads(loads, cfg.partitions).collect():
         fixed[r.pid] = r.load
+    bound = cfg.tolerance * sum(fixed) / cfg.partitions
+    crowded = [b for b, load in enumerate(fixed) if load > bound]
+    if not crowded:
+        return [], fixed
+    movable = loads.where(F.col("bucket").isin(crowded)).dropna(subset=list(keys))  # null keys always stay in bucket 0
+    top = movable.orderBy(F.desc("weight"), *keys).limit(cfg.planned_keys).collect()
+    listed = [planners.KeyLoad(tuple(_frozen(r[k]) for k in keys), r.weight, r.bucket) for r in top]
     for k in listed:
         fixed[k.bucket] -= k.weight
     return listed, [max(0.0, x) for x in fixed]
 
 
+def moved_keys(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> dict:
+    """Moved keys and their partition, by a planner that moves whole keys."""
+    planner = {"first_fit": planners.first_fit, "best_fit": planners.best_fit}.get(cfg.strategy)
+    if planner is None:
+        raise ValueError(f"{cfg.strategy} does not move whole keys")
+    held = loads.persist()  # read for the bucket sums and again for their keys
+    try:
+        listed, fixed = collected(held, keys, cfg)
+    finally:
+        held.unpersist()
+    return planner(listed, cfg.partitions, cfg.tolerance, fixed)
+
+
 def make_plan(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataFrame:
     """(keys, pid): the moved keys under cfg.strategy; none for hash."""
-    spark = loads.sparkSession
-    schema = T.StructType([*(loads.schema[k] for k in keys), T.StructField("pid", T.IntegerType())])
-    if cfg.strategy == "hash":
-        return spark.createDataFrame([], schema)
     if cfg.strategy == "minmax":
         return minmax_plan(loads, keys, cfg)
-    planner = {"first_fit": planners.first_fit, "best_fit": planners.best_fit}.get(cfg.strategy)
-    if planner is None:
-        raise ValueError(f"{cfg.strategy} does not move whole keys")
-    listed, fixed = collected(loads, keys, cfg)
-    moved = planner(listed, cfg.partitions, cfg.tolerance, fixed)
-    return spark.createDataFrame([(*k, p) for k, p in sorted(moved.items(), key=lambda x: (x[1], x[0]))], schema)
+    schema = T.StructType([*(loads.schema[k] for k in keys), T.StructField("pid", T.IntegerType())])
+    moved = {} if cfg.strategy == "hash" else moved_keys(loads, keys, cfg)
+    return loads.sparkSession.createDataFrame([(*k, p) for k, p in moved.items()], schema)
 
 
 def minmax_plan(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataFrame:
@@ -196,7 +205,11 @@ def choose(strategy: str, cfg: PlanConfig, left: DataFrame, right: DataFrame | N
     if strategy in ("hash", "range", "split_range"):
         return None, False
     loads = key_loads(left, right, keys, optype, cfg)
-    return make_plan(loads, keys, cfg), strategy == "minmax"
+    if strategy == "minmax":
+        return minmax_plan(loads, keys, cfg), True
+    moved = moved_keys(loads, keys, cfg)
+    schema = T.StructType([*(loads.schema[k] for k in keys), T.StructField("pid", T.IntegerType())])
+    return (left.sparkSession.createDataFrame([(*k, p) for k, p in moved.items()], schema) if moved else None), False
 
 
 def default_partitions(df: DataFrame) -> int:

@@ -99,14 +99,41 @@ def best_fit(keys: Sequence[KeyLoad], partitions: int, tolerance: float = 1.2, f
     return plan
 
 
+def segment_sums(weights: Sequence[float], cuts: Sequence[int]) -> list[float]:
+    """The sum of each segment."""
+    ends = [c + 1 for c in cuts]
+    return [sum(weights[a:b]) for a, b in zip([0, *ends], [*ends, len(weights)], strict=True)]
+
+
 def minmax_cuts(weights: Sequence[float], segments: int) -> list[int]:
     """The last index of each segment but the last, for contiguous segments whose largest sum is least.
 
-    With fewer weights than segments, each weight is alone and the rest are empty.
+    With fewer weights than segments, each weight is alone and the rest are
+    empty. Where one weight alone sets the largest sum, what lies on its two
+    sides is evened out by the same rule.
     """
     n = len(weights)
     if n <= segments:
         return list(range(max(0, n - 1)))
+    cuts = _least_cuts(weights, segments)
+    least = max(segment_sums(weights, cuts))
+    at = max(range(n), key=lambda i: weights[i])
+    if segments == 1 or weights[at] < least:
+        return cuts
+    left, right = weights[:at], weights[at + 1 :]
+    options = [s for s in range(segments) if bool(left) <= s <= segments - 1 - bool(right)]
+    if not options:
+        return cuts
+    share = lambda part, s: sum(part) / s if part else 0.0
+    s = min(options, key=lambda s: max(share(left, s), share(right, segments - 1 - s)))
+    even = [*(minmax_cuts(left, s) if left else []), *([at - 1] if left else []), *([at] if right else [])]
+    even += [at + 1 + c for c in minmax_cuts(right, segments - 1 - s)] if right else []
+    return even if max(segment_sums(weights, even)) <= least else cuts
+
+
+def _least_cuts(weights: Sequence[float], segments: int) -> list[int]:
+    """Any cuts whose largest sum is least; there are more weights than segments."""
+    n = len(weights)
     sums = [0.0, *accumulate(weights)]
     # reach[s][i]: the least largest sum of the first i weights in s segments, and where the last one starts
     best = [sums[i] for i in range(n + 1)]
