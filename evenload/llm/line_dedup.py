@@ -5,7 +5,9 @@ sorted within a partition by hash, document and position, and streamed: the
 first document of a run of equal hashes keeps its lines. A line that a large
 share of all documents hold would fill one range, so every hash is spread over
 ``runs`` neighbouring ranges by document; the heads of these runs (one document
-each) meet in a second, equally sorted pass that leaves the first of them.
+each) meet in a second, equally sorted pass that leaves the first of them. By
+default runs grow with the partitions, so a line that a third of all rows hold
+adds about three times the mean to a range.
 
 Only hashes and positions move. The result is a bitmap per document: words of
 64 lines, with runs of words that keep everything coded as a count.
@@ -47,7 +49,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def keep_bitmaps(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, runs: int = 32
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, runs: int | None = None
 ) -> DataFrame:
     """One row for each document that loses lines.
 
@@ -57,6 +59,7 @@ def keep_bitmaps(
     after the last word are kept.
     """
     n = shuffle_partitions(docs.sparkSession)
+    runs = runs or max(32, n // 8)
     lines = (
         packed(docs, id_col, text_col)
         .select(
@@ -104,7 +107,7 @@ def keep_bitmaps(
     return by_row.select("_r1", "_r2", F.col("n_dropped").cast("long"), coded.alias("keep"))
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 10, runs: int = 32) -> DataFrame:
+def marked(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 10, runs: int | None = None) -> DataFrame:
     """_row (all columns), n_lines, n_dropped, keep and kept_text for each row of docs."""
     marks = keep_bitmaps(docs, id_col, text_col, min_chars, runs).withColumn(
         "_words", F.expr("flatten(transform(keep, x -> concat(array_repeat(-1L, x.skip), array(x.word))))")
@@ -130,7 +133,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 10, run
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, runs: int = 32
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, runs: int | None = None
 ) -> DataFrame:
     """docs with n_lines, n_dropped, keep (null: all lines stay) and kept_text added, which replace equal names."""
     new = ["n_lines", "n_dropped", "keep", "kept_text"]

@@ -28,7 +28,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenload.scratch import materialize
+from evenload.scratch import materialize, shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -107,7 +107,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     n_shards: int = 16,
-    block_digits: int = 2,
+    block_digits: int | None = None,
     seed: str = "mix",
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -117,8 +117,10 @@ def mix(
 
     draws: array of (shard, pass, order), one for each time the mix takes the
     document; taken: its words times their number. Sources have 16 to the power
-    block_digits blocks each.
+    block_digits blocks each: 256, or 4096 beyond 1024 shuffle partitions. What is
+    taken of a document does not depend on that.
     """
+    block_digits = block_digits or (2 if shuffle_partitions(docs.sparkSession) <= 1024 else 3)
     slim = materialize(
         sized(docs, seed, id_col, text_col, source_col).withColumn("block", F.substring("_key", 1, block_digits)),
         "mix",

@@ -81,3 +81,8 @@ def test_odd_rows(odd):
     assert [c for c in mixed.columns if c != "_order"] == [*[c for c in odd.columns if c != "_shard"], "_shard"]
     assert mixed.count() == sum(len(r.draws) for r in out)
     assert mixing.mix(odd.limit(0)).count() == 0
+
+
+def test_what_is_taken_does_not_depend_on_blocks(docs):
+    a, b = ({r._id: r.taken for r in mixing.mix(docs, block_digits=n).collect()} for n in (1, 3))
+    assert a == b
