@@ -92,8 +92,12 @@ def document_frequencies(docs: DataFrame, text: Column) -> tuple[np.ndarray, int
 
 
 def inverse_frequencies(held: np.ndarray, n: int) -> np.ndarray:
-    """ln((1 + n) / (1 + df)) + 1 for each bucket."""
-    return (np.log((1 + n) / (1 + np.minimum(held, n))) + 1).astype(np.float32)
+    """1 + ln((1 + n) / (1 + df)) / ln(2 + n) for each bucket: from 1 (in every document) to 2.
+
+    Bounded, so that a boilerplate shingle counts for less than a rare one but
+    edits of a copy, whose shingles are always rare, do not outweigh what is left.
+    """
+    return (1 + np.log((1 + n) / (1 + np.minimum(held, n))) / np.log(2 + n)).astype(np.float32)
 
 
 def _quantiles(n: int) -> np.ndarray:
