@@ -123,13 +123,19 @@ def fit_ordinal(features: np.ndarray, grades: np.ndarray, ridge: float = 1.0) ->
 
 
 def best_cut(eta: np.ndarray, toxic: np.ndarray) -> float:
-    """The linear score that parts toxic texts with the best F1, in the middle of its gap."""
+    """The linear score that parts toxic texts with the best F1, in the middle of its gap.
+
+    It is above 0, the score of a text that holds none of the words; infinite if no score is.
+    """
     order = np.argsort(-eta, kind="stable")
     score, hits = eta[order], np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(eta) + 1) + toxic.sum())
+    f1 = 2 * hits / (np.arange(1, len(eta) + 1) + max(1, toxic.sum()))
     f1[:-1][score[:-1] == score[1:]] = -1  # equal scores cannot be parted
+    f1[score <= 1e-9] = -1
     at = int(np.argmax(f1))
-    return float((score[at] + score[min(at + 1, len(score) - 1)]) / 2)
+    if f1[at] < 0:
+        return np.inf
+    return float((score[at] + max(0.0, score[min(at + 1, len(score) - 1)])) / 2)
 
 
 def distinct_words(text: Column) -> Column:
@@ -206,8 +212,9 @@ def fit(
         x, y = np.zeros((n, 0)), np.repeat(list(grades), list(grades.values()))
     weights, thresholds = fit_ordinal(x, y, ridge)
     order = np.argsort(names.view(np.uint64))
-    cut = 1 / (1 + np.exp(thresholds[0] - best_cut(x @ weights, y > 0)))
-    return OrdinalModel(names.view(np.uint64)[order], weights[order], thresholds, float(cut))
+    cut = best_cut(x @ weights, y > 0)
+    least = 2.0 if np.isinf(cut) else float(1 / (1 + np.exp(thresholds[0] - cut)))
+    return OrdinalModel(names.view(np.uint64)[order], weights[order], thresholds, least)
 
 
 def score(model: OrdinalModel, text: Column) -> Column:

@@ -62,5 +62,13 @@ def test_odd_rows(odd, spark):
         assert out.columns == [*[c for c in odd.columns if c != "toxic"], "p_toxic", "severity", "toxic"]
         assert out.count() == odd.count() and out.where("p_toxic is null or severity is null").count() == 0
         assert toxicity.clean(odd, some).columns == odd.columns
+        assert toxicity.clean(odd, some).count() == odd.count()  # too few labels to choose a word
     assert toxicity.clean(odd, labels.limit(0)).count() == odd.count()
     assert toxicity.graded(odd.limit(0), labels).count() == 0
+
+
+def test_cut():
+    eta, toxic = np.array([0.0, 0.0, 0.2, 3.0, 4.0]), np.array([False, False, False, True, True])
+    assert toxicity.best_cut(eta, toxic) == 1.6
+    assert toxicity.best_cut(eta[:2], np.array([True, False])) == np.inf
+    assert toxicity.best_cut(np.array([0.0, 2.0]), np.array([True, True])) == 1
