@@ -322,14 +322,8 @@ mean as (select sum(w) / {P} as mean from k)
 def overloaded_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash buckets beyond the tolerated load."""
     loads, _ = _planned(spark, sf_dir, replace(CFG, strategy="hash"))
-    mean = F.sum("load").over(_everything()) / P
-    return placement.bucket_loads(loads, P).withColumn("mean", mean).where(F.col("load") > 1.2 * F.col("mean")).select("pid", "load")
-
-
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
+    by_bucket = placement.bucket_loads(loads, P).withColumn("mean", F.expr(f"sum(load) over () / {P}"))
+    return by_bucket.where("load > 1.2 * mean").select("pid", "load")
 
 
 @query(
