@@ -26,12 +26,10 @@ def placed_join(
     rows read, not rows emitted. Keys that both sides hold appear once.
     """
     cfg = cfg or PlanConfig()
-    if cfg.strategy == "split_range":
-        raise ValueError("split_range parts equal keys and cannot serve a join")
     optype = COST_OF_JOIN[how]
     if input_only:
         optype = "joinnull"
-    plan, whole = choose(cfg.strategy, cfg, left, right, keys, optype)
+    plan, whole = choose(cfg, left, right, keys, optype)
     l = place(left, keys, plan, cfg.partitions, whole)
     if how == "left_anti":
         # As a left join to flagged distinct keys: an anti join would be pushed below the exchange.
@@ -59,9 +57,7 @@ def placed_aggregate(
 ) -> DataFrame:
     """df grouped by keys where a plan puts them: no exchange besides the placement; the result has pid."""
     cfg = cfg or PlanConfig()
-    if cfg.strategy == "split_range":
-        raise ValueError("split_range parts equal keys and cannot serve an aggregation")
-    plan, whole = choose(cfg.strategy, cfg, df, None, keys, optype)
+    plan, whole = choose(cfg, df, None, keys, optype)
     return place(df, keys, plan, cfg.partitions, whole).groupBy("pid", *keys).agg(*aggregates)
 
 

@@ -100,10 +100,14 @@ def moved_keys(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> dict:
 
 def make_plan(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataFrame:
     """(keys, pid): the moved keys under cfg.strategy; none for hash."""
-    if cfg.strategy == "minmax":
-        return minmax_plan(loads, keys, cfg)
+    if cfg.strategy in ("minmax", "range"):
+        return {"minmax": minmax_plan, "range": range_plan}[cfg.strategy](loads, keys, cfg)
+    return _plan_of({} if cfg.strategy == "hash" else moved_keys(loads, keys, cfg), loads, keys)
+
+
+def _plan_of(moved: dict, loads: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Moved keys as a table."""
     schema = T.StructType([*(loads.schema[k] for k in keys), T.StructField("pid", T.IntegerType())])
-    moved = {} if cfg.strategy == "hash" else moved_keys(loads, keys, cfg)
     return loads.sparkSession.createDataFrame([(*k, p) for k, p in moved.items()], schema)
 
 
@@ -124,6 +128,13 @@ def minmax_plan(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataF
     return spread.select(*keys, pid.cast("int").alias("pid"))
 
 
+def range_plan(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataFrame:
+    """(keys, pid): every key, in ranges of about equal load; a key goes where its stretch begins."""
+    cum = running_total(loads.select(*keys, "weight"), keys, "weight")
+    pid = F.floor((F.col("cum") - F.col("weight")) * F.lit(cfg.partitions) / F.nullif("grand", F.lit(0.0)))
+    return cum.select(*keys, F.coalesce(F.least(F.lit(cfg.partitions - 1), pid), F.lit(0)).cast("int").alias("pid"))
+
+
 def with_pid(df: DataFrame, keys: Sequence[str], plan: DataFrame | None, partitions: int, whole: bool = False) -> DataFrame:
     """df with pid: the plan's partition of a key, else its hash bucket.
 
@@ -200,13 +211,16 @@ def balanced_sort(df: DataFrame, key: str, partitions: int, descending: bool = F
     return sent.withColumn("position", F.expr(f"_before + row_number() over (partition by pid order by `{key}` {direction})")).drop("_before")
 
 
-def choose(strategy: str, cfg: PlanConfig, left: DataFrame, right: DataFrame | None, keys: Sequence[str], optype: str) -> tuple[DataFrame | None, bool]:
-    """The plan for an operator and whether it lists every key: the one place that maps a strategy to a planner."""
-    if strategy in ("hash", "range", "split_range"):
+def choose(
+    cfg: PlanConfig, left: DataFrame, right: DataFrame | None, keys: Sequence[str], optype: str
+) -> tuple[DataFrame | None, bool]:
+    """The plan for an operator, None for hashing alone, and whether it lists every key."""
+    if cfg.strategy == "split_range":
+        raise ValueError("split_range parts equal keys: it serves sorts, not joins or aggregations")
+    if cfg.strategy == "hash":
         return None, False
     loads = key_loads(left, right, keys, optype, cfg)
-    if strategy == "minmax":
-        return minmax_plan(loads, keys, cfg), True
+    if cfg.strategy in ("minmax", "range"):
+        return make_plan(loads, keys, cfg), True
     moved = moved_keys(loads, keys, cfg)
-    schema = T.StructType([*(loads.schema[k] for k in keys), T.StructField("pid", T.IntegerType())])
-    return (left.sparkSession.createDataFrame([(*k, p) for k, p in moved.items()], schema) if moved else None), False
+    return (_plan_of(moved, loads, keys) if moved else None), False

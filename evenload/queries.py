@@ -102,7 +102,7 @@ def join_nullsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.placed_join(c, n, ["k"], "inner", CFG, null_safe=True).select(F.col("k").cast("double").alias("k"), "c_custkey", "n_name")
 
 
-for _strategy in ("hash", "best_fit", "minmax"):
+for _strategy in ("hash", "range", "best_fit", "minmax"):
 
     @query(f"join_{_strategy}", f"{_SIDES} select k, count(*) as n, sum(qty) as qty from o join l using (k) group by k")
     def join_by(spark: SparkSession, sf_dir: str, strategy: str = _strategy) -> DataFrame:
@@ -344,7 +344,7 @@ def evicted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(*x.key, x.weight, x.bucket) for x in gone], "k long, weight double, bucket int")
 
 
-for _strategy in ("first_fit", "best_fit", "minmax"):
+for _strategy in ("range", "first_fit", "best_fit", "minmax"):
 
     @query(f"{_strategy}_plan")
     def plan(spark: SparkSession, sf_dir: str, strategy: str = _strategy) -> DataFrame:
@@ -355,7 +355,7 @@ for _strategy in ("first_fit", "best_fit", "minmax"):
     def plan_balance(spark: SparkSession, sf_dir: str, strategy: str = _strategy) -> DataFrame:
         """The load of each partition under hashing and under the plan."""
         loads, moved = _planned(spark, sf_dir, replace(CFG, strategy=strategy))
-        after = placement.with_pid(loads, ["k"], moved, P, whole=strategy == "minmax").groupBy("pid").agg(F.sum("weight").alias("planned"))
+        after = placement.with_pid(loads, ["k"], moved, P, whole=strategy in ("minmax", "range")).groupBy("pid").agg(F.sum("weight").alias("planned"))
         before = placement.bucket_loads(loads, P)
         return before.join(after, "pid", "left").select("pid", F.col("load").alias("hashed"), F.coalesce("planned", F.lit(0.0)).alias("planned"))
 

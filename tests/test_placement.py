@@ -25,7 +25,7 @@ def plain(df):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_anti"])
-@pytest.mark.parametrize("strategy", ["hash", "first_fit", "best_fit", "minmax"])
+@pytest.mark.parametrize("strategy", ["hash", "range", "first_fit", "best_fit", "minmax"])
 def test_joins_equal_stock(sides, how, strategy):
     left, right = sides
     got = placed.placed_join(left, right, ["k"], how, replace(CFG, strategy=strategy)).drop("pid")
