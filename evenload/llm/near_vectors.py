@@ -35,7 +35,7 @@ from evenload.llm.near_text import by_group, spanning_forest
 from evenload.scratch import materialize, shuffle_partitions
 
 THRESHOLD = 0.93
-NEIGHBOURS, ORDERS, WINDOW, CELL, BLOCK = 10, 8, 6, 512, 512
+NEIGHBOURS, ORDERS, WINDOW, CELL, BLOCK = 10, 8, 6, 512, 128
 #: Single precision may misplace a similarity by this much; double precision decides.
 SLACK = 1e-4
 EDGES = "node long, nbr long, sim float"
@@ -147,14 +147,14 @@ def ordered_neighbours(nodes: DataFrame, n: int, first: int, orders: int) -> Dat
     )
 
 
-def trimmed(edges: DataFrame, lists: DataFrame | None) -> DataFrame:
+def trimmed(edges: DataFrame, lists: DataFrame | None, threshold: float) -> DataFrame:
     """Each node's best neighbours, and _k, its list's length: a saturated list doubles."""
     best = edges.groupBy("node", "nbr").agg(F.max("sim").alias("sim"))
     if lists is None:
         sized = best.withColumn("_k", F.lit(NEIGHBOURS))
     else:
         full = lists.groupBy("node").agg(F.max("_k").alias("k"), F.count("*").alias("n"), F.min("sim").alias("low"))
-        grown = full.select("node", F.expr(f"if(n >= k and low >= {THRESHOLD - SLACK}, 2 * k, k)").alias("_k"))
+        grown = full.select("node", F.expr(f"if(n >= k and low >= {threshold - SLACK}, 2 * k, k)").alias("_k"))
         sized = best.join(grown, "node", "left").withColumn("_k", F.coalesce("_k", F.lit(NEIGHBOURS)))
     ranked = sized.withColumn("_r", F.expr("row_number() over (partition by node order by sim desc, nbr)"))
     return materialize(ranked.where("_r <= _k").drop("_r"), "graph")
@@ -272,9 +272,9 @@ def near_vectors(
     while True:
         more = ordered_neighbours(nodes, n, orders, max(ORDERS, orders))
         orders += max(ORDERS, orders)
-        graph = trimmed(more if graph is None else more.unionByName(graph.drop("_k")), graph)
+        graph = trimmed(more if graph is None else more.unionByName(graph.drop("_k")), graph, threshold)
         for _ in range(rounds):
-            graph = trimmed(descend(graph, nodes).unionByName(graph.drop("_k")), graph)
+            graph = trimmed(descend(graph, nodes).unionByName(graph.drop("_k")), graph, threshold)
         counted, forest = exact_links(graph, nodes, threshold)
         reached = audit(nodes, counted, threshold, partitions)
         if reached >= recall or orders >= most_orders:
