@@ -164,14 +164,15 @@ def near_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ranged = rows.withColumn("span", span.cast("int"))
     heads = sorted((r.span, r.id) for r in ranged.groupBy("span").agg(F.max("id").alias("id")).collect())  # a row a range
     before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    to = F.lit(None).cast("int")
-    for head, place in before.items():
-        to = F.when(F.col("id").eqNullSafe(F.lit(head)), F.lit(place)).otherwise(to)
+    places = [F.lit(x) for h, place in before.items() if h is not None for x in (h, place)]
+    to = F.try_element_at(F.create_map(*places), F.col("id")) if places else F.lit(None).cast("int")
+    if None in before:
+        to = F.when(F.col("id").isNull(), F.lit(before[None])).otherwise(to)
     known = [h for h in before if h is not None]
     is_head = F.col("id").isin(known) if known else F.lit(False)
     if None in before:
         is_head = is_head | F.col("id").isNull()
-    ahead = rows.where(is_head).withColumn("span", to).withColumn("ahead", F.lit(True))
+    ahead = rows.where(is_head).withColumn("span", to.cast("int")).withColumn("ahead", F.lit(True))
     dealt = (
         ranged.withColumn("ahead", F.lit(False))
         .unionByName(ahead)
