@@ -124,7 +124,7 @@ def minmax_plan(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataF
     runs = spread.groupBy("_run").agg(F.sum("weight").alias("w")).orderBy("_run").collect()
     cuts = planners.minmax_cuts([r.w for r in runs], cfg.partitions)
     lasts = [runs[c]._run for c in cuts]
-    pid = sum(((F.col("_run") > F.lit(x)).cast("int") for x in lasts), F.lit(0))
+    pid = F.size(F.filter(F.array(*map(F.lit, lasts)), lambda x: F.col("_run") > x)) if lasts else F.lit(0)
     return spread.select(*keys, pid.cast("int").alias("pid"))
 
 
