@@ -65,3 +65,16 @@ def test_odd_vectors(spark):
     got, _ = found(spark.createDataFrame(rows, SCHEMA))
     assert got == brute(rows)
     assert found(spark.createDataFrame([], SCHEMA))[0] == []
+
+
+def test_a_large_family_hides_no_lost_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    units = [base + rng.normal(size=64) * 0.05 for _ in range(200)]
+    for _ in range(20):
+        one = rng.normal(size=64)
+        units += [one, one + rng.normal(size=64) * 0.1]
+    rows = [(k, 1, 1, True, (u / np.sqrt(u @ u)).tobytes()) for k, u in enumerate(units)]
+    nodes = spark.createDataFrame(rows, "node long, grp long, copies long, probe boolean, unit binary")
+    counted = spark.createDataFrame([(k, 199, 199) for k in range(200)] + [(k, 1, 1) for k in range(200, 220)], "node long, linked long, pairs long")
+    assert near_vectors.audit(nodes, counted, 0.93, 3) == 0.5
