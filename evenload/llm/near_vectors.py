@@ -14,7 +14,8 @@ reaches the threshold are saturated and double. Then
   in blocks. Every probe counts alike, links count without copies, and probes
   with about as many links are averaged apart: the least average must reach the
   aim, so a large family hides no lost pairs. Short of it, the graph gets as
-  many new orders again and is refined further.
+  many new orders again and is refined further; short of it with the most
+  orders, all vectors of a label are compared exactly, by pairs of blocks.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components, and those without label, link with nothing; vectors of different
@@ -25,6 +26,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from math import ceil, log2
 
@@ -39,12 +41,16 @@ from evenload.scratch import materialize, shuffle_partitions
 
 THRESHOLD = 0.93
 NEIGHBOURS, ORDERS, WINDOW, CELL, BLOCK = 10, 8, 6, 512, 128
+#: Block of the exact comparison of a whole label.
+WIDE_BLOCK = 1024
 #: Single precision may misplace a similarity by this much; double precision decides.
 SLACK = 1e-4
 #: Vectors drawn by hash for the audit, besides those with ids divisible by 100.
 PROBES = 2000
 EDGES = "node long, nbr long, sim float"
 
+log = logging.getLogger(__name__)
+
 
 def unit(embedding: Column) -> Column:
     """The vector at length 1, as little-endian doubles."""
@@ -197,11 +203,15 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def exact_links(graph: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(node, linked, pairs): links counted with and without copies, and forest edges (a, b), in double precision within families."""
+    """The links within families of the graph."""
     close = graph.where(F.col("sim") >= threshold - SLACK).select(F.col("node").alias("a"), F.col("nbr").alias("b"))
-    family = components(close)
+    return links_within(components(close), nodes, threshold, BLOCK)
+
+
+def links_within(family: DataFrame, nodes: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(node, linked, pairs): links counted with and without copies, and forest edges (a, b), in double precision within components."""
     sizes = family.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.expr(f"cast(ceil(size / {BLOCK}D) as int)")
+    blocks = F.expr(f"cast(ceil(size / {block}D) as int)")
     rows = (
         family.join(sizes, "component")
         .join(nodes.select("node", "copies", "unit"), "node")
@@ -221,9 +231,10 @@ def exact_links(graph: DataFrame, nodes: DataFrame, threshold: float) -> tuple[D
             if not one:
                 near &= own[:, None] != own[None, :]
             linked, pairs = near @ copies, near.sum(1)
-            forest = spanning_forest(len(u), lambda i, left, near=near: near[i, left])
-            a = np.array([name[i] for i, _ in forest] + [0] * int((linked > 0).sum()), np.int64)
-            b = np.array([name[j] for _, j in forest] + name[linked > 0].tolist(), np.int64)
+            some = np.flatnonzero(pairs)
+            forest = spanning_forest(len(some), lambda i, left: near[some[i], some[left]])  # noqa: B023
+            a = np.array([name[some[i]] for i, _ in forest] + [0] * len(some), np.int64)
+            b = np.array([name[some[j]] for _, j in forest] + name[linked > 0].tolist(), np.int64)
             c = np.array([0] * len(forest) + linked[linked > 0].tolist(), np.int64)
             d = np.array([0] * len(forest) + pairs[linked > 0].tolist(), np.int64)
             if len(a):
@@ -273,7 +284,7 @@ def near_vectors(
     vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = 2, recall: float = 0.99, most_orders: int = 64,
     id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
 ) -> tuple[DataFrame, float]:
-    """Rows (_id, n_links, component_id) for every vector, and the audited recall."""
+    """Rows (_id, n_links, component_id, recall) for every vector, and the audited recall: 1 if all pairs were compared."""
     rows, nodes = distinct_vectors(vectors, id_col, vec_col, label_col)
     n, partitions = nodes.count(), shuffle_partitions(vectors.sparkSession)
     nodes = nodes.withColumn("probe", F.expr(f"probe or pmod(xxhash64(node, 7), {max(1, n // PROBES)}) = 0"))
@@ -288,6 +299,10 @@ def near_vectors(
         reached = audit(nodes, counted, threshold, partitions)
         if reached >= recall or orders >= most_orders:
             break
+    if reached < recall:
+        log.warning("audited recall %.4f after %d orders: all vectors of a label are compared", reached, orders)
+        counted, forest = links_within(nodes.select("node", F.col("grp").alias("component")), nodes, threshold, WIDE_BLOCK)
+        reached = 1.0
     linked = components(forest)
     merged = nodes.join(linked, "node", "left").join(counted, "node", "left")
     least = merged.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
@@ -295,6 +310,7 @@ def near_vectors(
         "node", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id")
     )
     out = rows.join(named, "node", "left").select(
-        "_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "_id").alias("component_id")
+        "_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "_id").alias("component_id"),
+        F.lit(float(reached)).alias("recall"),
     )
     return out, reached

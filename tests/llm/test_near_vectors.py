@@ -78,3 +78,18 @@ def test_a_large_family_hides_no_lost_pairs(spark):
     nodes = spark.createDataFrame(rows, "node long, grp long, copies long, probe boolean, unit binary")
     counted = spark.createDataFrame([(k, 199, 199) for k in range(200)] + [(k, 1, 1) for k in range(200, 220)], "node long, linked long, pairs long")
     assert near_vectors.audit(nodes, counted, 0.93, 3) == 0.5
+
+
+def test_short_of_the_aim_all_pairs_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "ordered_neighbours", lambda nodes, *_: nodes.sparkSession.createDataFrame([], near_vectors.EDGES))
+    monkeypatch.setattr(near_vectors, "WIDE_BLOCK", 8)
+    rng = np.random.default_rng(6)
+    rows = []
+    for size in (1, 2, 3, 9, *[1] * 20):
+        base = rng.normal(size=16)
+        rows += [(base + rng.normal(size=16) * 0.1).astype(np.float32).tolist() for _ in range(size)]
+    rows = [(100 * i + 1, v, i % 2, "x") for i, v in enumerate(rows + rows[:3])]
+    out, recall = near_vectors.near_vectors(spark.createDataFrame(rows, SCHEMA), rounds=0, most_orders=8)
+    got = out.collect()
+    assert sorted(((r._id, r.n_links, r.component_id) for r in got), key=str) == brute(rows)
+    assert recall == 1 and {r.recall for r in got} == {1.0}
