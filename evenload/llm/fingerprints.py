@@ -7,8 +7,8 @@ A text's fingerprint is the sorted bottom sketch of its distinct anchor hashes;
 likeness is the Jaccard similarity of anchor sets estimated from two sketches,
 and exact while the union fits into one sketch.
 
-Defined cases: a text shorter than k has one anchor, the whole text; a null or
-empty text has none and the empty fingerprint; likeness is 1 for two empty
+Defined cases: a text without syncmers, as all shorter than k and some up to 23
+code points are, has one anchor, the whole text; a null or empty text has none and the empty fingerprint; likeness is 1 for two empty
 fingerprints and 0 for one; rows that repeat an id follow each other ordered by
 text hash; null ids come last; other columns are not read.
 """
@@ -70,11 +70,11 @@ def _anchors(texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         if len(t) >= K:
             at = slice(first[i], last[i])
             out.append((chosen[at] - bounds[i], hashes[at]))
-        elif t:
-            digest = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=4).digest()
-            out.append((np.zeros(1, np.int64), np.frombuffer(digest, np.uint32)))
         else:
             out.append((np.zeros(0, np.int64), np.zeros(0, np.uint32)))
+        if t and not len(out[-1][0]):
+            digest = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=4).digest()
+            out[-1] = (np.zeros(1, np.int64), np.frombuffer(digest, np.uint32))
     return out
 
 

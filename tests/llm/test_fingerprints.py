@@ -94,3 +94,11 @@ def test_odd_rows(odd):
     assert fp.near_next(odd.where("doc_id is null")).count() == 2
     for r in odd.select("text", fp.fingerprint(F.col("text")).alias("f")).collect():
         assert r.f.fingerprint == fp.as_string(fp.sketches([r.text or ""])[0]) and len(r.f.positions) == len(r.f.hashes)
+
+
+def test_only_empty_texts_have_no_anchor():
+    rng = random.Random(8)
+    texts = ["The cat sat here.", "No results found", "Subscribe to our news", *("".join(rng.choices("abcdefgh ", k=n)) for n in range(1, 30) for _ in range(20))]
+    assert all(len(p) == len(h) > 0 for p, h in fp.anchors(texts))
+    a, b, c, _ = fp.sketches([*texts[:3], ""])
+    assert fp.likeness(a, b) == fp.likeness(b, c) == 0 and fp.likeness(a, a) == 1
