@@ -3,9 +3,10 @@
 A k-mer of code points is an anchor if the smallest hash among its s-mers lies
 at its first or its last place. That depends on the k-mer alone, so two texts
 that share a passage share the anchors inside it, wherever the passage stands.
-A text's fingerprint is the sorted bottom sketch of its distinct anchor hashes;
-likeness is the Jaccard similarity of anchor sets estimated from two sketches,
-and exact while the union fits into one sketch.
+A text's fingerprint is the hashes of all its anchors in the order of their
+positions. Likeness matches equal anchors that stand in the same order in both
+texts, as many as can be (a longest common subsequence), and divides them by the
+anchors of both together, matched ones counted once.
 
 Defined cases: a text without syncmers, as all shorter than k and some up to 23
 code points are, has one anchor, the whole text; a null or empty text has none and the empty fingerprint; likeness is 1 for two empty
@@ -16,6 +17,7 @@ text hash; null ids come last; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,7 +30,8 @@ from evenload.scratch import shuffle_partitions
 
 S, PARTS = 5, 3
 K, WINDOW = S * PARTS, S * PARTS - S + 1
-SKETCH = 128
+#: No limit: a fingerprint holds every anchor.
+SKETCH = None
 
 
 def anchors(texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -79,8 +82,8 @@ def _anchors(texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def sketches(texts: Sequence[str]) -> list[np.ndarray]:
-    """The smallest distinct anchor hashes of each text, sorted."""
-    return [np.unique(h)[:SKETCH] for _, h in anchors(texts)]
+    """The anchor hashes of each text by position."""
+    return [h for _, h in anchors(texts)]
 
 
 def as_string(sketch: np.ndarray) -> str:
@@ -88,30 +91,55 @@ def as_string(sketch: np.ndarray) -> str:
     return sketch.astype(">u4").tobytes().hex()
 
 
+def matched(a: np.ndarray, b: np.ndarray) -> int:
+    """The length of a longest common subsequence."""
+    n = min(len(a), len(b))
+    head = int(np.argmin(np.append(a[:n] == b[:n], False)))
+    a, b, n = a[head:], b[head:], n - head
+    tail = int(np.argmin(np.append(a[::-1][:n] == b[::-1][:n], False)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    common = np.intersect1d(a, b)
+    a, b = a[np.isin(a, common)], b[np.isin(b, common)]
+    if not len(common):
+        return head + tail
+    if len(a) == len(b) == len(common):  # nothing repeats: a longest increasing subsequence of places
+        place = np.empty(len(b), np.int64)
+        place[np.searchsorted(common, a)] = np.arange(len(a))
+        ends: list[int] = []
+        for x in place[np.searchsorted(common, b)].tolist():
+            k = bisect_left(ends, x)
+            ends[k : k + 1] = [x]
+        return head + tail + len(ends)
+    # Bit-parallel: a zero at bit j says that the subsequence grows at b[j].
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b.tolist()):
+        places.setdefault(x, []).append(j)
+    repeated = {x: sum(1 << j for j in at) for x, at in places.items() if len(at) > 1}
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a.tolist():
+        hit = row & (repeated[x] if x in repeated else 1 << places[x][0])
+        row = ((row + hit) | (row - hit)) & full
+    return head + tail + len(b) - row.bit_count()
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity of two sketches."""
+    """The share of anchors that match in order among those of both fingerprints."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.concatenate([a, b])
-    both.sort()
-    twice = both[1:] == both[:-1]
-    union = len(both) - int(twice.sum())
-    if union <= SKETCH:
-        return int(twice.sum()) / union
-    new = np.concatenate([[True], ~twice])
-    end = int(np.flatnonzero(new)[SKETCH - 1])  # where the last hash of the union's sketch begins
-    return int(twice[: end + 1].sum()) / SKETCH
+    both = matched(a, b)
+    return both / (len(a) + len(b) - both)
 
 
 def fingerprint(text: Column) -> Column:
-    """struct(fingerprint, positions, hashes) of a text: its sketch and all its anchors."""
+    """struct(fingerprint, positions, hashes) of a text: all its anchors, as one string and as lists."""
 
     @F.arrow_udf("struct<fingerprint: string, positions: array<int>, hashes: array<bigint>>")
     def printed(column: pa.Array) -> pa.Array:
         found = anchors([t or "" for t in column.to_pylist()])
         return pa.StructArray.from_arrays(
             [
-                pa.array([as_string(np.unique(h)[:SKETCH]) for _, h in found], pa.string()),
+                pa.array([as_string(h) for _, h in found], pa.string()),
                 pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())),
                 pa.array([h.astype(np.int64) for _, h in found], pa.list_(pa.int64())),
             ],
@@ -181,7 +209,7 @@ def near_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
     def stream(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, ended = [], [], False
+        ids, texts, ended, size = [], [], False, 0
         for part in parts:
             for i, t, is_ahead in zip(*(part.column(c).to_pylist() for c in ("id", "text", "ahead")), strict=True):
                 if ended:
@@ -189,9 +217,10 @@ def near_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 ids.append(i)
                 texts.append(t)
                 ended = is_ahead
-                if len(texts) > 512:
+                size += len(t)
+                if len(texts) > 512 or len(texts) > 1 and size > 1 << 22:
                     yield _rows(ids, texts)
-                    ids, texts = ids[-1:], texts[-1:]
+                    ids, texts, size = ids[-1:], texts[-1:], len(t)
         if len(texts) > 1:
             yield _rows(ids, texts)
 

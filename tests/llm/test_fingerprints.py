@@ -102,3 +102,29 @@ def test_only_empty_texts_have_no_anchor():
     assert all(len(p) == len(h) > 0 for p, h in fp.anchors(texts))
     a, b, c, _ = fp.sketches([*texts[:3], ""])
     assert fp.likeness(a, b) == fp.likeness(b, c) == 0 and fp.likeness(a, a) == 1
+
+
+def test_long_texts_that_differ_have_other_fingerprints():
+    rng = random.Random(9)
+    for _ in range(8):
+        text = "".join(rng.choices("abcdefghijklmnop ", k=60_000))
+        at = rng.randrange(1000, 59_000)
+        other = text[:at] + "".join(rng.choices("abcdefghijklmnop ", k=400)) + text[at + 400 :]
+        a, b = fp.sketches([text, other])
+        assert fp.as_string(a) != fp.as_string(b) and 0.97 < fp.likeness(a, b) < 1
+    a, b = fp.sketches([text, text[30_000:] + text[:30_000]])
+    assert 0.3 < fp.likeness(a, b) < 0.36  # half of them in order
+
+
+def test_matched_is_a_longest_common_subsequence():
+    rng = np.random.default_rng(10)
+    for symbols in (2, 6, 40, 10**6):
+        for _ in range(60):
+            a, b = (rng.integers(0, symbols, rng.integers(1, 30), dtype=np.uint32) for _ in range(2))
+            if symbols > 40:
+                b = rng.permutation(np.concatenate([a, b]))
+            best = np.zeros((len(a) + 1, len(b) + 1), int)
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+            assert fp.matched(a, b) == best[-1, -1]
