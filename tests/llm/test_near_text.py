@@ -1,35 +1,46 @@
 """Near-dedup of texts against all pairs."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evenload.llm import components, near_text
 
 
-def jaccard(a, b, idf):
-    (s, c), (t, d) = a, b
-    left, right = dict(zip(s.tolist(), c.tolist(), strict=True)), dict(zip(t.tolist(), d.tolist(), strict=True))
-    w = lambda x: float(idf[near_text.bucket_of(np.array([x], np.uint64))[0]])
-    low = sum(w(x) * min(left.get(x, 0), right.get(x, 0)) for x in left.keys() & right.keys())
-    high = sum(w(x) * max(left.get(x, 0), right.get(x, 0)) for x in left.keys() | right.keys())
-    return low / high if high else 0.0
+def frequencies(rows):
+    """Documents that hold each shingle, counted one by one."""
+    held = Counter()
+    for _, t in rows:
+        words = re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", " ", (t or "").lower()).split()
+        k = min(5, len(words))
+        held.update({" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else ())
+    return held
+
+
+def shingled(text):
+    """Counts of a text's shingles, as strings."""
+    words = re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", " ", text.lower()).split()
+    k = min(5, len(words))
+    return Counter(" ".join(words[i : i + k]) for i in range(len(words) - k + 1)) if words else Counter()
 
 
 def brute(rows):
-    """Classes over all pairs of distinct texts."""
+    """Classes over all pairs of distinct texts, by strings and exact frequencies."""
     texts = sorted({t or "" for _, t in rows})
-    its = list(near_text.items(texts))
-    held, n = np.zeros(near_text.BUCKETS, np.int64), 0
-    for s, _ in near_text.items([t for _, t in rows]):
-        n += len(s) > 0
-        held[np.unique(near_text.bucket_of(s))] += 1
-    idf = near_text.inverse_frequencies(held, n)
+    held, n = frequencies(rows), len(rows)
+    idf = {s: 1 + math.log((1 + n) / (1 + df)) / math.log(2 + n) for s, df in held.items()}
+    its = [shingled(t) for t in texts]
     group = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if len(its[i][0]) and len(its[j][0]) and jaccard(its[i], its[j], idf) >= 0.8:
+            low = sum(idf[s] * c for s, c in (its[i] & its[j]).items())
+            high = sum(idf[s] * c for s, c in (its[i] | its[j]).items())
+            if low and low / high >= 0.8:
                 a, b = group[i], group[j]
                 group = [b if g == a else g for g in group]
     least = {}
@@ -89,14 +100,51 @@ def test_draws_agree_as_often_as_weighted_jaccard():
     assert abs(np.mean(hits) - np.mean(want)) < 0.02
 
 
-def test_document_frequencies_cover_all(spark):
-    rows = corpus()
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    held, n = near_text.document_frequencies(df, df["text"])
-    own = np.zeros_like(held)
-    for s, _ in near_text.items([t for _, t in rows]):
-        own[np.unique(near_text.bucket_of(s))] += 1
-    assert n == len(rows) and (held == own).all()
+@pytest.mark.parametrize("most", [1 << 20, 400])
+def test_document_frequencies_are_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(near_text, "CHUNK", (most, most))
+    monkeypatch.setattr(near_text, "RANGE", (most, most))
+    rows = [*corpus(), (900, None), (901, ""), (902, "one two")]
+    base = spark.createDataFrame(rows, "_id long, text string").selectExpr("_id", "unhex(md5(coalesce(text, ''))) as node", "coalesce(text, '') as text")
+    chunks, ranges = near_text.layout(sum(len(t or "") for _, t in rows), 4)
+    chunk = F.pmod(F.xxhash64("node", "_id"), F.lit(chunks).cast("long"))
+    dealt = base.select(chunk.alias("chunk"), "text").repartition("chunk").sortWithinPartitions("chunk")
+    got = near_text.sketched(base, near_text.answered(dealt, ranges), chunk, len(rows)).collect()
+    held, texts, n = frequencies(rows), dict(rows), len(rows)
+    mine, true = [], []
+    for r in got:
+        own = near_text.unpack_counts(bytes(r.held))
+        mine += own.tolist()
+        want = sorted(held[s] for s in shingled(texts[r._id] or ""))
+        true += want
+        assert sorted(own.tolist()) == want
+    idf = near_text.inverse_frequencies(np.array(sorted(mine)), n)
+    exact = np.log((1 + n) / (1 + np.array(sorted(true))))
+    assert np.corrcoef(idf, exact)[0, 1] > 0.999999 and len(got) == n
+
+
+def test_packed_runs_come_back():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50, 5000):
+        values = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (near_text.unpack_sorted(near_text.pack_sorted(values)) == values).all()
+        narrow = np.unique(rng.integers(2**63, 2**63 + 2**40, n, dtype=np.uint64))
+        assert (near_text.unpack_sorted(near_text.pack_sorted(narrow)) == narrow).all()
+        counts = rng.choice([1, 1, 2, 7, 254, 255, 256, 10**10], n)
+        assert (near_text.unpack_counts(near_text.pack_counts(counts)) == counts).all()
+
+
+def test_large_families_lose_nothing(spark, monkeypatch):
+    """A chain of texts, each near the next one only, and copies of one text: far more than a block."""
+    monkeypatch.setattr(near_text, "TEXT_BLOCK", 8)
+    monkeypatch.setattr(near_text, "SKETCH_BLOCK", 16)
+    rng = random.Random(11)
+    words = [f"c{i}" for i in range(1200)]
+    rows = [(k, " ".join(words[k * 8 : k * 8 + 160])) for k in range(90)]
+    base = [f"b{i}" for i in range(200)]
+    rows += [(200 + k, " ".join(edited(rng, base, k % 4))) for k in range(120)]
+    got = near_text.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r._id: r.class_id for r in got} == {i: c for (i, _), c in brute(rows).items()}
 
 
 def test_odd_rows(odd):
