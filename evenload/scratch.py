@@ -26,18 +26,45 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Drops the shuffle files of a query when it ends: what it made is in the shared folder.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    The files go when the application ends. Column order and types are kept.
+    The files go when discarded, or when the application ends. Column order and types are kept.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/evenload/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._evenload_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a materialised DataFrame that nothing reads any more."""
+    path = getattr(df, "_evenload_path", None)
+    if path:
+        where, files = _files(df.sparkSession, path)
+        files.delete(where, True)
+
+
+def _files(spark: SparkSession, path: str):
+    """The path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
