@@ -55,7 +55,7 @@ BANDS, DRAWS = 16, 4
 REACH = THRESHOLD - 5 * float(np.sqrt(THRESHOLD * (1 - THRESHOLD) / (BANDS * DRAWS)))
 SKETCH_BLOCK, TEXT_BLOCK, PIVOTS = 4096, 256, 8
 #: Bytes of text in a chunk and shingles in a hash range: they grow with the root of the corpus, between these bounds.
-CHUNK, RANGE = (1 << 18, 1 << 24), (1 << 16, 1 << 21)
+CHUNK, RANGE = (1 << 18, 1 << 23), (1 << 16, 1 << 20)
 
 
 def items(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,9 +118,9 @@ def unpack_counts(data: bytes) -> np.ndarray:
 
 def layout(n_bytes: int, partitions: int) -> tuple[int, int]:
     """Numbers of chunks and of hash ranges for so many bytes of text. They decide where rows meet, not what comes out."""
-    scale = sqrt(max(1, n_bytes) * 65536.0)
+    scale = sqrt(max(1, n_bytes) * 16384.0)
     chunk = min(CHUNK[1], max(CHUNK[0], scale))
-    within = min(RANGE[1], max(RANGE[0], scale / 6))
+    within = min(RANGE[1], max(RANGE[0], scale / 3))
     few = min(2 * partitions, ceil(n_bytes / CHUNK[0]))
     return max(1, few, ceil(n_bytes / chunk)), max(1, few, ceil(n_bytes / 6 / within))
 

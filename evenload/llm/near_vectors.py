@@ -9,12 +9,13 @@ reaches the threshold are saturated and double. Then
 * edges at or above the threshold form families;
 * inside a family, links are counted exactly in double precision, by pairs of
   blocks, so a list that was too short loses nothing;
-* recall is audited: vectors whose ids are divisible by 100, and some 2000 drawn
-  by hash (all of a smaller table), are compared with all vectors of their label,
-  in blocks. Every probe counts alike, links count without copies, and probes
-  with about as many links are averaged apart: the least average must reach the
-  aim, so a large family hides no lost pairs. Short of it, the graph gets as
-  many new orders again and is refined further; short of it with the most
+* recall is audited: some 2000 vectors drawn by hash (all of a smaller table) are
+  compared with all vectors of their label. Where none of them has a link, as many
+  are drawn among the vectors that the graph linked; where there are none of these
+  either, recall is null and not 1. Every probe counts alike, links count without
+  copies, and probes with about as many links are averaged apart: the least average
+  must reach the aim, so a large family hides no lost pairs. Short of it, the graph
+  gets as many new orders again and is refined further; short of it with the most
   orders, all vectors of a label are compared exactly, by pairs of blocks.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
@@ -26,6 +27,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import logging
 from collections.abc import Iterator
 from math import ceil, log2
@@ -35,18 +37,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenload.llm.components import components
+from evenload.llm.components import components, sized, told_by_key
 from evenload.llm.near_text import by_group, spanning_forest
-from evenload.scratch import materialize, shuffle_partitions
+from evenload.scratch import discard, materialize, shuffle_partitions
 
 THRESHOLD = 0.93
-NEIGHBOURS, ORDERS, WINDOW, CELL, BLOCK = 10, 8, 6, 512, 128
+NEIGHBOURS, ORDERS, WINDOW, CELL, BLOCK = 10, 8, 6, 512, 512
 #: Block of the exact comparison of a whole label.
 WIDE_BLOCK = 1024
 #: Single precision may misplace a similarity by this much; double precision decides.
 SLACK = 1e-4
-#: Vectors drawn by hash for the audit, besides those with ids divisible by 100.
-PROBES = 2000
+#: Vectors drawn by hash for the audit, at least (and at most twice as many), and slices of the rows they are compared with.
+PROBES, SLICES = 2000, 256
 EDGES = "node long, nbr long, sim float"
 
 log = logging.getLogger(__name__)
@@ -73,29 +75,37 @@ def matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float64) -> np.nd
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows: _id, node or null) and (nodes: node, grp, copies, least, probe, unit)."""
+    """(rows: _id, node or null) and (nodes: node, grp, copies, least, unit).
+
+    A node is named by 64 bits, seeded so that no two vectors that differ in 128 bits share a name.
+    """
     usable = F.expr(
         f"{label_col} is not null and {vec_col} is not null"
         f" and forall({vec_col}, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
         f" and exists({vec_col}, x -> x <> 0)"
     )
-    keyed = vectors.select(
-        F.col(id_col).alias("_id"), F.col(vec_col).alias("v"), F.col(label_col).alias("label"),
-        F.when(usable, F.xxhash64(F.col(label_col), F.col(vec_col))).alias("node"),
-    )
-    nodes = (
-        keyed.where("node is not null")
-        .groupBy("node")
-        .agg(
-            F.first("label").alias("label"),
-            F.first("v").alias("v"),
-            F.count("*").alias("copies"),
-            F.min("_id").alias("least"),
-            F.max(F.expr("coalesce(_id % 100 = 0, false)")).alias("probe"),
+    for seed in itertools.count():
+        keyed = vectors.select(
+            F.col(id_col).alias("_id"), F.col(vec_col).alias("v"), F.col(label_col).alias("label"),
+            F.when(usable, F.xxhash64(F.lit(seed), F.col(label_col), F.col(vec_col))).alias("node"),
+            F.xxhash64(F.col(vec_col), F.col(label_col)).alias("other"),
+        )
+        nodes = materialize(
+            keyed.where("node is not null")
+            .groupBy("node")
+            .agg(
+                F.first("label").alias("label"),
+                F.first("v").alias("v"),
+                F.count("*").alias("copies"),
+                F.min("_id").alias("least"),
+                (F.min("other") != F.max("other")).alias("mixed"),
+            )
+            .select("node", F.xxhash64("label", F.size("v")).alias("grp"), "copies", "least", "mixed", unit(F.col("v")).alias("unit")),
+            "vectors",
         )
-        .select("node", F.xxhash64("label", F.size("v")).alias("grp"), "copies", "least", "probe", unit(F.col("v")).alias("unit"))
-    )
-    return keyed.select("_id", "node"), materialize(nodes, "vectors")
+        if not nodes.where("mixed").limit(1).count():
+            return keyed.select("_id", "node"), nodes.drop("mixed")
+        discard(nodes)
 
 
 def _edges(nodes: np.ndarray, nbrs: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
@@ -210,10 +220,9 @@ def exact_links(graph: DataFrame, nodes: DataFrame, threshold: float) -> tuple[D
 
 def links_within(family: DataFrame, nodes: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
     """(node, linked, pairs): links counted with and without copies, and forest edges (a, b), in double precision within components."""
-    sizes = family.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.expr(f"cast(ceil(size / {block}D) as int)")
     rows = (
-        family.join(sizes, "component")
+        sized(family, "component")
         .join(nodes.select("node", "copies", "unit"), "node")
         .withColumn("_n", blocks)
         .withColumn("_b", F.expr("cast(pmod(xxhash64(node, 11), _n) as int)"))
@@ -249,25 +258,33 @@ def links_within(family: DataFrame, nodes: DataFrame, threshold: float, block: i
     return counted, found.where("linked = 0").select("a", "b")
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, partitions: int) -> float:
-    """The share of a probe's links that are found, averaged over probes by octave of their links; the least average."""
-    probes = nodes.where("probe").withColumn("_q", F.expr("row_number() over (partition by grp order by node) div 256"))
-    wide = probes.groupBy("grp").agg(F.max("_q").alias("top"))
-    every = nodes.join(wide, "grp").select(
-        "grp", F.explode(F.expr("sequence(0L, cast(top as long))")).alias("_q"),
-        F.pmod(F.xxhash64("node"), F.lit(partitions)).alias("_s"), F.lit(1).alias("_all"), "node", "unit",
-    )
-    asked = probes.select(
-        "grp", F.col("_q").cast("long"), F.explode(F.expr(f"sequence(0L, {partitions - 1}L)")).alias("_s"), F.lit(0).alias("_all"), "node", "unit",
-    )
-    keys = ["grp", "_q", "_s"]
+def audit(nodes: DataFrame, probes: DataFrame, counted: DataFrame, threshold: float, slices: int) -> float | None:
+    """The share of a probe's links that are found, averaged over probes by octave of their links; the least average.
+
+    probes: some of nodes, a bounded number. Null if none of them has a link.
+    """
+    every = nodes.select("grp", F.pmod(F.xxhash64("node"), F.lit(slices)).alias("_s"), F.lit(1).alias("_all"), "node", "unit")
+    asked = probes.select("grp", F.explode(F.expr(f"sequence(0L, {slices - 1}L)")).alias("_s"), F.lit(0).alias("_all"), "node", "unit")
+    keys = ["grp", "_s"]
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_group(parts, keys):
-            u, name, role = matrix(table.column("unit")), table.column("node").to_numpy(), table.column("_all").to_numpy()
-            q = role == 0
-            near = (u[q] @ u[~q].T >= threshold) & (name[q][:, None] != name[~q][None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(name[q]), pa.array(near.sum(1))], ["node", "truth"])
+        key, held, own = None, [], None
+        for part in parts:
+            for table in by_group(iter([part]), [*keys, "_all"]):
+                here = (table.column("grp")[0].as_py(), table.column("_s")[0].as_py())
+                if here != key:
+                    key, held, own = here, [], None
+                if table.column("_all")[0].as_py() == 0:
+                    held.append(table)
+                    continue
+                if own is None:
+                    asking = pa.concat_tables(held) if held else table.slice(0, 0)
+                    own = (matrix(asking.column("unit")) if held else None, asking.column("node").to_numpy())
+                if own[0] is None:
+                    continue
+                u, name = matrix(table.column("unit")), table.column("node").to_numpy()
+                near = (own[0] @ u.T >= threshold) & (own[1][:, None] != name[None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(own[1]), pa.array(near.sum(1))], ["node", "truth"])
 
     k = [F.col(x) for x in keys]
     dealt = asked.unionByName(every).repartition(*k).sortWithinPartitions(*k, "_all", "node")
@@ -276,19 +293,31 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float, partitions: in
         truth.where("truth > 0").join(counted, "node", "left")
         .groupBy(F.floor(F.log2("truth"))).agg(F.avg(F.expr("least(truth, coalesce(pairs, 0)) / truth")).alias("share"))
     )
-    least = shares.agg(F.min("share")).first()[0]
-    return 1.0 if least is None else least
+    return shares.agg(F.min("share")).first()[0]
+
+
+def audited(nodes: DataFrame, n: int, counted: DataFrame, threshold: float, slices: int) -> float | None:
+    """The recall of probes drawn among all nodes; if these have no links, of probes among the linked ones; else null."""
+    drawn = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(max(1, n // PROBES))) == 0
+    found = audit(nodes, nodes.where(drawn), counted, threshold, slices)
+    if found is not None:
+        return found
+    linked = counted.where("pairs > 0").select("node")
+    some = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(max(1, linked.count() // PROBES))) == 0
+    return audit(nodes, nodes.join(linked.where(some), "node", "left_semi"), counted, threshold, slices)
 
 
 def near_vectors(
     vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = 2, recall: float = 0.99, most_orders: int = 64,
     id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-) -> tuple[DataFrame, float]:
-    """Rows (_id, n_links, component_id, recall) for every vector, and the audited recall: 1 if all pairs were compared."""
+) -> tuple[DataFrame, float | None]:
+    """Rows (_id, n_links, component_id, recall) for every vector, and the audited recall.
+
+    It is 1 if all pairs were compared, and null if no probe and no linked vector was there to measure it.
+    """
     rows, nodes = distinct_vectors(vectors, id_col, vec_col, label_col)
-    n, partitions = nodes.count(), shuffle_partitions(vectors.sparkSession)
-    nodes = nodes.withColumn("probe", F.expr(f"probe or pmod(xxhash64(node, 7), {max(1, n // PROBES)}) = 0"))
-    graph, orders, reached = None, 0, 0.0
+    n, slices = nodes.count(), min(SLICES, shuffle_partitions(vectors.sparkSession))
+    graph, orders = None, 0
     while True:
         more = ordered_neighbours(nodes, n, orders, max(ORDERS, orders))
         orders += max(ORDERS, orders)
@@ -296,10 +325,10 @@ def near_vectors(
         for _ in range(rounds):
             graph = trimmed(descend(graph, nodes).unionByName(graph.drop("_k")), graph, threshold)
         counted, forest = exact_links(graph, nodes, threshold)
-        reached = audit(nodes, counted, threshold, partitions)
-        if reached >= recall or orders >= most_orders:
+        reached = audited(nodes, n, counted, threshold, slices)
+        if reached is None or reached >= recall or orders >= most_orders:
             break
-    if reached < recall:
+    if reached is not None and reached < recall:
         log.warning("audited recall %.4f after %d orders: all vectors of a label are compared", reached, orders)
         counted, forest = links_within(nodes.select("node", F.col("grp").alias("component")), nodes, threshold, WIDE_BLOCK)
         reached = 1.0
@@ -309,8 +338,11 @@ def near_vectors(
     named = merged.join(least, "component", "left").select(
         "node", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id")
     )
-    out = rows.join(named, "node", "left").select(
-        "_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "_id").alias("component_id"),
-        F.lit(float(reached)).alias("recall"),
+    usable, other = rows.where("node is not null"), rows.where("node is null")
+    linked = told_by_key(usable, named, "node", "_id").select("_id", "n_links", "component_id")
+    alone = other.select("_id", F.lit(0).alias("n_links"), F.col("_id").alias("component_id"))
+    out = linked.unionByName(alone).select(
+        "_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "_id").alias("component_id"),
+        F.lit(reached).cast("double").alias("recall"),
     )
     return out, reached

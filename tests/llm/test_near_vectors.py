@@ -74,10 +74,27 @@ def test_a_large_family_hides_no_lost_pairs(spark):
     for _ in range(20):
         one = rng.normal(size=64)
         units += [one, one + rng.normal(size=64) * 0.1]
-    rows = [(k, 1, 1, True, (u / np.sqrt(u @ u)).tobytes()) for k, u in enumerate(units)]
-    nodes = spark.createDataFrame(rows, "node long, grp long, copies long, probe boolean, unit binary")
+    rows = [(k, 1, 1, (u / np.sqrt(u @ u)).tobytes()) for k, u in enumerate(units)]
+    nodes = spark.createDataFrame(rows, "node long, grp long, copies long, unit binary")
     counted = spark.createDataFrame([(k, 199, 199) for k in range(200)] + [(k, 1, 1) for k in range(200, 220)], "node long, linked long, pairs long")
-    assert near_vectors.audit(nodes, counted, 0.93, 3) == 0.5
+    assert near_vectors.audit(nodes, nodes, counted, 0.93, 3) == 0.5
+
+
+def test_recall_of_nothing_is_not_one(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    units = [rng.normal(size=16) for _ in range(60)]
+    units[41:] = [units[40] + rng.normal(size=16) * 0.01 for _ in range(19)]
+    rows = [(k, 1, 1, (u / np.sqrt(u @ u)).tobytes()) for k, u in enumerate(units)]
+    nodes = spark.createDataFrame(rows, "node long, grp long, copies long, unit binary")
+    none = spark.createDataFrame([], "node long, linked long, pairs long")
+    few = nodes.where("node < 40")
+    assert near_vectors.audit(nodes, few, none, 0.93, 3) is None
+    monkeypatch.setattr(near_vectors, "PROBES", 10**6)
+    assert near_vectors.audited(nodes, 60, none, 0.93, 3) == 0
+    assert near_vectors.audited(few, 40, none, 0.93, 3) is None
+    # Of 10 ** 18 nodes none of these is drawn, so the linked ones are asked.
+    half = spark.createDataFrame([(k, 9, 9) for k in range(40, 60)], "node long, linked long, pairs long")
+    assert abs(near_vectors.audited(nodes, 10**18, half, 0.93, 3) - 9 / 19) < 1e-9
 
 
 def test_short_of_the_aim_all_pairs_are_compared(spark, monkeypatch):
