@@ -1,48 +1,57 @@
 """Sharding into contiguous shards of near equal bytes: a minimax partition.
 
 Equal texts are one atomic group (their 64-bit text hash; a collision only
-joins two groups) and groups are ordered by that hash. The smallest capacity
-for which a greedy left-to-right filling needs no more shards than there are is
-found by binary search, and the greedy filling at that capacity is cut there.
+joins two groups). The order of groups is fixed: those of an equal share or more come first, the
+largest first, then all others by hash. The smallest capacity for which a greedy
+left-to-right filling needs no more shards than there are is found by binary
+search. Under that capacity each cut falls where the shard before it comes nearest
+to an equal share of what is left, as long as the rest still fits; so no shard is
+empty while groups remain.
 
 The search never sees all groups. It starts from sums over cells of leading
 hash bits. An unresolved cell is bounded from both sides: as if it could be cut
 anywhere, and as if it could not be cut. Cells where cuts may fall are refined
-by 8 bits a round until both bounds give one capacity, which is then exact.
-The driver holds a bounded number of cell sums; groups and documents stay.
-
-A group that is larger than an equal share of what remains gets a shard of its
-own first (there are fewer of these than shards), so the others stay even.
+by 8 bits a round until both bounds give one capacity, which is then exact, and
+until every cut lies between resolved cells. The driver holds a bounded number of
+cell sums; groups and documents stay.
 
 Slots number the documents of a shard without gaps: counts of hash buckets of
-the id give offsets, and a row number within a bucket the rest.
+the row give offsets, and a row number within a bucket the rest. The number of
+buckets follows the number of rows, so a table always gets the same slots.
 
-Defined cases: a null text has size 1 and equals an empty text; repeated rows
-are separate documents of one group; a null id is an id like any other; an
+Defined cases: a null text has size 1 and equals an empty text; a text of any length
+is one row of its group; repeated rows are separate documents of one group, with ties in
+any order; a null id is an id like any other; an
 empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenload.scratch import materialize, shuffle_partitions
+from evenload.scratch import materialize
 
 FIRST_BITS, MORE_BITS = 14, 8
+#: Rows of a shard that one bucket of slots holds, about.
+BUCKET_ROWS = 20_000
 
 
 @dataclass(frozen=True)
 class Cell:
-    """Groups whose signed hash starts with the same bits."""
+    """Groups whose signed hash starts with the same bits; of 64 bits, one group. Heavy ones come before all others."""
 
     prefix: int
     bits: int
     size: int
     largest: int
     groups: int
+    heavy: bool = False
 
     @property
     def start(self) -> int:
@@ -93,10 +102,33 @@ def smallest(cells: list[Cell], shards: int, fluid: bool) -> int:
     return high
 
 
-def boundaries(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
-    """The exact minimax capacity and the hashes at which shards after the first begin.
+def even_cuts(cells: list[Cell], shards: int, capacity: int) -> list[int]:
+    """The cells where shards after the first begin: as even as they can be cut in turn, none above capacity.
+
+    The capacity must be feasible for whole cells.
+    """
+    sums = [0, *accumulate(c.size for c in cells)]
+    n, shards = len(cells), min(shards, len(cells))
+    latest = [n] * shards  # latest[j]: the first cell of the last j shards when they are filled from the right
+    for j in range(1, shards):
+        latest[j] = bisect_left(sums, sums[latest[j - 1]] - capacity)
+    cuts, at = [], 0
+    for left in range(shards, 1, -1):
+        low = max(at + 1, latest[left - 1])
+        high = min(bisect_right(sums, sums[at] + capacity) - 1, n - left + 1)
+        goal = sums[at] + (sums[n] - sums[at]) / left
+        near = bisect_left(sums, goal, low, high + 1)
+        near = min((p for p in (near - 1, near) if low <= p <= high), key=lambda p: abs(sums[p] - goal))
+        cuts.append(near)
+        at = near
+    return cuts
+
+
+def boundaries(groups: DataFrame, shards: int, heavy: Sequence[tuple[int, int]] = ()) -> tuple[int, dict[int, int], list[int]]:
+    """The exact minimax capacity, the shards of heavy groups, and the hashes at which shards begin.
 
-    groups: rows (h long, w long), one per atomic group.
+    groups: rows (h long, w long), one per atomic group; heavy: (h, w) of groups that
+    come before them, in order. Shards without a heavy group begin at a hash.
     """
 
     def sums(df: DataFrame, bits: int) -> list[Cell]:
@@ -107,32 +139,44 @@ def boundaries(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         )
         return [Cell(r.p, bits, r.w, r.m, r.n) for r in rows]
 
-    cells = sorted(sums(groups, FIRST_BITS), key=lambda c: c.start)
+    def refined(cells: list[Cell], open_cells: set[int]) -> list[Cell]:
+        by_bits: dict[int, list[Cell]] = {}
+        for i in open_cells:
+            by_bits.setdefault(cells[i].bits, []).append(cells[i])
+        kept = [c for i, c in enumerate(cells) if i not in open_cells]
+        for bits, some in by_bits.items():
+            within = groups.where(F.shiftright("h", 64 - bits).isin([c.prefix for c in some]))
+            kept += sums(within, min(64, bits + MORE_BITS))
+        return ordered(kept)
+
+    def ordered(cells: list[Cell]) -> list[Cell]:
+        return [c for c in cells if c.heavy] + sorted((c for c in cells if not c.heavy), key=lambda c: c.start)
+
+    cells = ordered([Cell(h, 64, w, w, 1, True) for h, w in heavy] + sums(groups, FIRST_BITS))
     if not cells:
-        return 0, []
+        return 0, {}, []
     while True:
         low, high = smallest(cells, shards, True), smallest(cells, shards, False)
-        walks = [fill(cells, c, fluid) or [] for c in {low, high} for fluid in (True, False)]
+        if low == high:
+            break
+        walks = [fill(cells, c, fluid) or [] for c in (low, high) for fluid in (True, False)]
         walks = [w[: shards - 1] for w in walks]
-        cuts = fill(cells, high, False) or []
-        if low == high and all(cells[i].whole or cells[i - 1].whole for i in cuts if i):
-            exact = fill(cells, high, True) or []
-            if exact == cuts:
-                return high, [cells[i].start for i in cuts]
         open_cells = set()
         for k in range(max(map(len, walks), default=0)):
             at = [w[k] for w in walks if k < len(w)]
             open_cells |= {i for i in range(max(0, min(at) - 1), max(at) + 1) if not cells[i].whole}
         if not open_cells:
-            return high, [cells[i].start for i in cuts]
-        by_bits: dict[int, list[Cell]] = {}
-        for i in open_cells:
-            by_bits.setdefault(cells[i].bits, []).append(cells[i])
-        kept = [c for i, c in enumerate(cells) if i not in open_cells]
-        for bits, some in by_bits.items():
-            within = groups.where(F.shiftright("h", 64 - bits).isin([c.prefix for c in some]))
-            kept += sums(within, min(64, bits + MORE_BITS))
-        cells = sorted(kept, key=lambda c: c.start)
+            break
+        cells = refined(cells, open_cells)
+    while True:
+        cuts = even_cuts(cells, shards, high)
+        near = range(len(cells)) if len(cells) < shards else [i for c in cuts for i in (c - 1, c)]
+        open_cells = {i for i in near if not cells[i].whole}
+        if not open_cells:
+            break
+        cells = refined(cells, open_cells)
+    place = {cells[i].prefix: bisect_right(cuts, i) for i in range(len(cells)) if cells[i].heavy}
+    return high, place, [cells[i].start for i in cuts if not cells[i].heavy]
 
 
 def shard_by_bytes(
@@ -149,24 +193,20 @@ def shard_by_bytes(
         ),
         "sizes",
     )
-    groups = materialize(slim.groupBy("h").agg(F.sum("size").alias("w")), "groups")
-    total = groups.agg(F.sum("w")).first()[0] or 0
-    alone: list[int] = []
-    left = total
-    # Fewer than n_shards + 1 groups can reach an equal share.
-    for r in groups.where(F.col("w") * n_shards >= total).orderBy(F.desc("w"), "h").collect():
-        if n_shards - len(alone) > 1 and r.w * (n_shards - len(alone)) >= left:
-            alone.append(r.h)
-            left -= r.w
-    rest = groups.where(~F.col("h").isin(alone)) if alone else groups
-    _, cuts = boundaries(rest, n_shards - len(alone))
-    shard = F.lit(len(alone))
+    groups = materialize(slim.groupBy("h").agg(F.sum("size").alias("w"), F.count("*").alias("n")), "groups")
+    total, n_rows = groups.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # At most n_shards groups reach an equal share.
+    heavy = [(r.h, r.w) for r in groups.where(F.col("w") * n_shards >= total).orderBy(F.desc("w"), "h").collect()]
+    rest = groups.where(~F.col("h").isin([h for h, _ in heavy])) if heavy else groups
+    _, place, cuts = boundaries(rest, n_shards, heavy)
+    # The heavy groups' shards come first; a shard that begins with the first other group needs no hash.
+    shard = F.lit(max(place.values(), default=0))
     for cut in cuts:
         shard = shard + (F.col("h") >= F.lit(cut)).cast("int")
-    for k, h in enumerate(alone):
+    for h, k in place.items():
         shard = F.when(F.col("h") == F.lit(h), F.lit(k)).otherwise(shard)
-    n = buckets or shuffle_partitions(docs.sparkSession)
-    placed = slim.withColumns({"shard": shard.cast("int"), "bucket": F.pmod(F.xxhash64(id_col, "size"), F.lit(n))})
+    n = buckets or max(1, n_rows // (n_shards * BUCKET_ROWS))
+    placed = slim.withColumns({"shard": shard.cast("int"), "bucket": F.pmod(F.xxhash64(id_col, "size", "h"), F.lit(n))})
     offsets = (
         placed.groupBy("shard", "bucket")
         .agg(F.count("*").alias("rows"))
