@@ -3,23 +3,25 @@
 Grades 0..K are ordered. One weight vector is shared by all thresholds:
 P(grade <= k) = sigmoid(threshold_k - w x), where x marks which of the chosen
 words a text holds. Words are full 64-bit hashes (no buckets to collide in);
-chosen are those whose association with a grade above 0 passes the universal
-threshold sqrt(2 ln m) over m words. A text's score is its expected severity,
+chosen are all those whose association with a grade above 0 passes the universal
+threshold sqrt(2 ln m) over m words, by the signed root of the likelihood ratio of the
+two-by-two table, which a word in few documents does not pass by chance. A text's score is its expected severity,
 the sum of P(grade >= k). It is toxic if P(grade >= 1) reaches the model's cut:
 the middle of the gap that parts the fitted sample with the best F1.
 
 The fit sees at most ``max_rows`` labelled documents, those with the smallest
-hashes of their ids: the only bounded step. Scoring reads whole texts.
+hashes of their ids: the only bounded step. Their features are sparse. Scoring reads whole texts.
 
-Defined cases: a null or empty text has no features; without labelled
+Defined cases: a null or empty text has no features; a very long text is one row, read whole; without labelled
 documents of two grades nothing is toxic and the severity is 0; labels with a
 null grade are ignored; repeated labels each count; repeated documents are
-scored row by row; other columns pass through.
+scored row by row; ties at the cut are toxic; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,25 @@ class OrdinalModel:
         return out
 
 
+class Marks(NamedTuple):
+    """A sparse matrix of ones: the row and the column of each."""
+
+    row: np.ndarray
+    column: np.ndarray
+    n: int
+    d: int
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Marks:
+        return cls(*np.nonzero(dense), *dense.shape)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.column], minlength=self.n)
+
+    def summed(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, weights=v[self.row], minlength=self.d)
+
+
 def minimise(f, x: np.ndarray, steps: int = 200, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
     """Limited-memory BFGS with backtracking; f gives a value and its gradient."""
     value, grad = f(x)
@@ -91,9 +112,9 @@ def minimise(f, x: np.ndarray, steps: int = 200, memory: int = 10, tolerance: fl
     return x
 
 
-def fit_ordinal(features: np.ndarray, grades: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(features: Marks, grades: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by penalised likelihood; every grade up to the largest has a threshold."""
-    n, d = features.shape
+    n, d = features.n, features.d
     top = int(grades.max())
     onehot = np.eye(top + 1)[grades]
 
@@ -102,7 +123,7 @@ def fit_ordinal(features: np.ndarray, grades: np.ndarray, ridge: float = 1.0) ->
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         w, cuts = unpack(p)
-        eta = features @ w
+        eta = features.times(w)
         below = 1 / (1 + np.exp(np.clip(eta[:, None] - cuts[None, :], -500, 500)))
         density = below * (1 - below)
         edge = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
@@ -114,7 +135,7 @@ def fit_ordinal(features: np.ndarray, grades: np.ndarray, ridge: float = 1.0) ->
         gaps = np.exp(np.clip(p[d + 1 :], -20, 20))
         tail = np.cumsum(d_cuts[::-1])[::-1]
         small = 1e-3
-        grad = np.concatenate([features.T @ d_eta + ridge * w, [tail[0]], tail[1:] * gaps + small * p[d + 1 :]])
+        grad = np.concatenate([features.summed(d_eta) + ridge * w, [tail[0]], tail[1:] * gaps + small * p[d + 1 :]])
         return -np.log(chance).sum() + ridge / 2 * w @ w + small / 2 * p[d + 1 :] @ p[d + 1 :], grad
 
     share = np.clip((grades == 0).mean(), 1e-3, 1 - 1e-3)
@@ -168,10 +189,10 @@ def among(words: Column, chosen: np.ndarray) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, grade: Column, max_rows: int = 12_000, max_words: int = 512, min_docs: int = 5,
-    ridge: float = 0.05, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, grade: Column, max_rows: int = 12_000, ridge: float = 0.05,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> OrdinalModel:
-    """The model from at most max_rows labels and max_words words; grade is a Column over labels (0, 1, ..., or null).
+    """The model from at most max_rows labelled documents; grade is a Column over labels (0, 1, ..., or null).
 
     Words are counted where they lie; the driver gets the chosen ones and their places.
     """
@@ -184,35 +205,39 @@ def fit(
     sample = materialize(
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .join(F.broadcast(chosen), "_id")  # at most max_rows rows
-        .select("grade", distinct_words(F.col("_text")).alias("words")),
+        .select("_id", "grade", distinct_words(F.col("_text")).alias("words")),
         "toxicity",
     )
+    if sample.count() > max_rows:  # ids that repeat among documents
+        sample = materialize(sample.orderBy(F.xxhash64("_id"), "_id", "grade", F.xxhash64("words")).limit(max_rows), "toxicity")
     grades = {r.grade: r.n for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if len(grades) < 2:
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    n = sum(grades.values())
-    p = 1 - grades.get(0, 0) / n
+    n, toxic = sum(grades.values()), sum(c for g, c in grades.items() if g > 0)
     counted = materialize(
         sample.select((F.col("grade") > 0).cast("int").alias("toxic"), F.explode("words").alias("word"))
         .groupBy("word")
-        .agg(F.count("*").alias("held"), F.sum("toxic").alias("both"))
-        .where((F.col("held") >= min_docs) & (F.col("held") < n)),
+        .agg(F.count("*").cast("double").alias("held"), F.sum("toxic").cast("double").alias("both"))
+        .where(F.col("held") < n),
         "words",
     )
     bar = float(np.sqrt(2 * np.log(max(2, counted.count()))))
-    z = F.expr(f"abs(both - held * {p!r}D) / sqrt(greatest(held * {p * (1 - p)!r}D * (1 - held / {n}D), 1e-9))")
-    best = counted.withColumn("z", z).where(F.col("z") > bar).orderBy(F.desc("z"), "word").limit(max_words).collect()
+    # Twice the log-likelihood ratio: observed x ln(observed / expected) over the four cells.
+    cells = [
+        ("both", f"held * {toxic / n!r}D"), ("held - both", f"held * {1 - toxic / n!r}D"),
+        (f"{toxic}D - both", f"({n}D - held) * {toxic / n!r}D"), (f"{n - toxic}D - held + both", f"({n}D - held) * {1 - toxic / n!r}D"),
+    ]
+    ratio = " + ".join(f"if({o} > 0, ({o}) * ln(({o}) / ({e})), 0D)" for o, e in cells)
+    best = counted.where(F.expr(f"2 * ({ratio}) > {bar * bar!r}D")).select("word").collect()
     names = np.sort(np.array([r.word for r in best], np.int64))
-    rows = sample.select("grade", among(F.col("words"), names).alias("at")).collect() if len(names) else []
-    x = np.zeros((len(rows), len(names)))
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = 1
+    found = among(F.col("words"), names) if len(names) else F.array().cast("array<int>")
+    rows = sample.select("grade", found.alias("at")).collect()
     y = np.array([r.grade for r in rows], np.int64)
-    if not len(names):
-        x, y = np.zeros((n, 0)), np.repeat(list(grades), list(grades.values()))
+    column = np.concatenate([np.zeros(0, np.int64), *(np.array(r["at"], np.int64) for r in rows)])
+    x = Marks(np.repeat(np.arange(len(rows)), [len(r["at"]) for r in rows]), column, len(rows), len(names))
     weights, thresholds = fit_ordinal(x, y, ridge)
     order = np.argsort(names.view(np.uint64))
-    cut = best_cut(x @ weights, y > 0)
+    cut = best_cut(x.times(weights), y > 0)
     least = 2.0 if np.isinf(cut) else float(1 / (1 + np.exp(thresholds[0] - cut)))
     return OrdinalModel(names.view(np.uint64)[order], weights[order], thresholds, least)
 
