@@ -151,7 +151,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-with cut as (
+with listed as (select unnest(string_split('SUFFIXES', ' ')) as known),
+cut as (
   select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 page as (
   select page_id,
@@ -159,14 +160,17 @@ page as (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
   from cut),
 parsed as (select *, try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') as bigint) as doc from page),
-known as (
+outcome as (
   select doc_id as doc, max((toxic = 1 or quality = 0)::int) as bad from labels
   where (toxic = 1 or quality = 0) is not null group by doc_id),
-host as (
-  select host, count(bad) as n, coalesce(sum(bad), 0) as k,
-    coalesce(regexp_extract(host, '[^.]*\.[^.]*$'), '') as two, regexp_extract(host, '[^.]*$') as suffix
-  from parsed left join known using (doc) group by host),
-hosts as (select host, n, k, case when two = '' then host else two end as domain, suffix from host),
+host as (select host, count(bad) as n, coalesce(sum(bad), 0) as k from parsed left join outcome using (doc) group by host),
+ended as (
+  select host, n, k, coalesce(max_by(known, length(known)), regexp_extract(host, '[^.]*$')) as suffix
+  from host left join listed on '.' || host like '%.' || known group by host, n, k),
+hosts as (
+  select host, n, k, suffix, case when length(host) <= length(suffix) + 1 then host
+    else regexp_extract(left(host, length(host) - length(suffix) - 1), '[^.]*$') || '.' || suffix end as domain
+  from ended),
 domains as (select domain, suffix, sum(n) as n, sum(k) as k from hosts group by 1, 2),
 suffixes as (select suffix, sum(n) as n, sum(k) as k from domains group by 1),
 overall as (select (coalesce(sum(k), 0) + 1.0::double) / (coalesce(sum(n), 0) + 2) as m from hosts),
@@ -181,8 +185,11 @@ m2 as (select domain, (s * m + k) / (s + n) as m from s2, p2),
 s3 as (select host, n, k, m from hosts join m2 using (domain)),
 t3 as (select sum((k - n * m) * (k - n * m) / (n * m * (1 - m))) as x2, count(*) as c, sum(n) as n from s3 where n > 0),
 p3 as (select case when c = 0 or n = c or x2 <= c then 1000.0 else least(1000.0, greatest(1.0, (n - c) / (x2 - c) - 1)) end as s from t3),
-m3 as (select host, n, s, (s * m + k) / (s + n) as mean from s3, p3),
-low as (select host, mean - 1.645 * sqrt(mean * (1 - mean) / (s + n + 1)) as lower_bound from m3),
+m3 as (select host, s * m + k as a, s * (1 - m) + n - k as b from s3, p3),
+low as (
+  select host, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a + b) * ln(0.5::double)) / a * (1 + list_sum([
+    exp(lgamma(a + 1) + lgamma(a + b + i + 1) - lgamma(a + i + 2) - lgamma(a + b) + (i + 1) * ln(0.5::double)) for i in range(3000)])) as below
+  from m3),
 ruled as (
   select page_id, host, path, case
     when (host = 'www.example.com' or host like '%.www.example.com') and starts_with(path, '/en/') then 'www.example.com/en/'
@@ -195,9 +202,9 @@ ruled as (
 select page_id, host, path, rule, case
   when rule in ('com/', 'www.example.com/en/') then 'allow'
   when rule is not null then 'block'
-  when lower_bound > 0.5 then 'block' else 'allow' end as verdict
+  when below < 0.05 then 'block' else 'allow' end as verdict
 from ruled left join low using (host)
-"""
+""".replace("SUFFIXES", " ".join(host_reputation.SUFFIXES))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
