@@ -22,7 +22,7 @@ class PlanConfig:
 
     partitions: int = 8
     strategy: str = "first_fit"
-    sampler: str = "exact"
+    sampler: str = "bernoulli"
     sample_rate: float = 0.2
     tolerance: float = 1.2
     min_sample: int = 1000

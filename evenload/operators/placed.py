@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evenload.config import PlanConfig
 from evenload.functions.cost import COST_OF_JOIN
@@ -29,14 +27,14 @@ def placed_join(
     optype = COST_OF_JOIN[how]
     if input_only:
         optype = "joinnull"
-    plan, whole = choose(cfg, left, right, keys, optype)
-    l = place(left, keys, plan, cfg.partitions, whole)
+    plan = choose(cfg, left, right, keys, optype)
+    l = place(left, keys, plan, cfg.partitions)
     if how == "left_anti":
         # As a left join to flagged distinct keys: an anti join would be pushed below the exchange.
         flagged = right.select(*keys).distinct()
-        r = place(flagged, keys, plan, cfg.partitions, whole).withColumn("_hit", F.lit(True))
+        r = place(flagged, keys, plan, cfg.partitions).withColumn("_hit", F.lit(True))
         return _matched(l, r, keys, "left", null_safe).where("_hit is null").select("pid", *left.columns)
-    r = place(right, keys, plan, cfg.partitions, whole)
+    r = place(right, keys, plan, cfg.partitions)
     return _matched(l, r, keys, how, null_safe)
 
 
@@ -57,43 +55,29 @@ def placed_aggregate(
 ) -> DataFrame:
     """df grouped by keys where a plan puts them: no exchange besides the placement; the result has pid."""
     cfg = cfg or PlanConfig()
-    plan, whole = choose(cfg, df, None, keys, optype)
-    return place(df, keys, plan, cfg.partitions, whole).groupBy("pid", *keys).agg(*aggregates)
+    plan = choose(cfg, df, None, keys, optype)
+    return place(df, keys, plan, cfg.partitions).groupBy("pid", *keys).agg(*aggregates)
 
 
-def combined_locally(df: DataFrame, keys: Sequence[str], reducers: dict[str, str], most: int = 100_000) -> DataFrame:
-    """Rows of equal keys merged within each input partition, without an exchange.
+def combined_locally(df: DataFrame, keys: Sequence[str], reducers: dict[str, str]) -> DataFrame:
+    """Rows of equal keys merged within each input partition: at most one of a key leaves it.
 
-    reducers: column -> sum, min or max. Beyond so many groups they are passed
-    on and started again, so memory is bounded; merging later gives the same.
+    reducers: column -> sum, min or max.
     """
-    totals = df.groupBy().agg(*[getattr(F, r)(c).alias(c) for c, r in reducers.items()]).schema
-    schema = T.StructType([*(df.schema[k] for k in keys), *totals.fields])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for part in parts:
-            table = pa.Table.from_batches([part])
-            table = table if held is None else pa.concat_tables([held, table], promote_options="permissive")
-            merged = table.group_by(list(keys)).aggregate(list(reducers.items()))
-            held = merged.rename_columns([n.rsplit("_", 1)[0] if n not in keys else n for n in merged.column_names])
-            held = held.select([*keys, *reducers])
-            if held.num_rows > most:
-                yield from held.combine_chunks().to_batches()
-                held = None
-        if held is not None:
-            yield from held.combine_chunks().to_batches()
-
-    return df.select(*keys, *reducers).mapInArrow(run, schema)
+    parts = df.select(*keys, *reducers).withColumn("_part", F.spark_partition_id())
+    return parts.groupBy("_part", *keys).agg(*[getattr(F, r)(c).alias(c) for c, r in reducers.items()]).drop("_part")
 
 
 def reduce_by_key(df: DataFrame, keys: Sequence[str], reducers: dict[str, str], cfg: PlanConfig | None = None) -> DataFrame:
     """(pid, keys, reduced columns): merged in each input partition first, then placed and merged.
 
-    reducers: column -> sum, min or max.
+    reducers: column -> sum, min or max. The plan counts merged rows: one of a key from each input partition.
     """
+    cfg = cfg or PlanConfig()
     final = [getattr(F, r)(c).alias(c) for c, r in reducers.items()]
-    return placed_aggregate(combined_locally(df, keys, reducers), keys, final, "reduceByKey", cfg)
+    plan = choose(cfg, df, None, keys, "reduceByKey", combined=True)
+    sent = place(combined_locally(df, keys, reducers), keys, plan, cfg.partitions)
+    return sent.groupBy("pid", *keys).agg(*final)
 
 
 def group_by_key(df: DataFrame, keys: Sequence[str], value: str, cfg: PlanConfig | None = None) -> DataFrame:

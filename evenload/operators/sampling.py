@@ -131,9 +131,12 @@ def estimated_rows(df: DataFrame, keys: Sequence[str], cfg: PlanConfig, combined
     if cfg.sampler == "exact":
         if not combined:
             return keyed.groupBy(*keys).agg(F.count("*").cast("double").alias("v"))
-        held = keyed.withColumn("_part", F.spark_partition_id())
-        return held.groupBy(*keys).agg(F.count_distinct("_part").cast("double").alias("v"))
+        held = keyed.withColumn("_part", F.spark_partition_id()).distinct()
+        return held.groupBy(*keys).agg(F.count("*").cast("double").alias("v"))
     if cfg.sampler == "bernoulli":
+        if combined:
+            held = bernoulli(keyed.withColumn("_part", F.spark_partition_id()), cfg.sample_rate, cfg.seed).distinct()
+            return held.groupBy(*keys).agg(F.count("*").cast("double").alias("v"))
         counted = bernoulli(keyed, cfg.sample_rate, cfg.seed).groupBy(*keys)
         return counted.agg((F.count("*") / F.lit(cfg.sample_rate)).alias("v"))
     parts = max(1, len(partition_sizes(keyed)))

@@ -1,13 +1,15 @@
 """Placements: which partition a row goes to, and sending it there.
 
-A plan is a table (keys, pid) of moved keys; all other keys keep the bucket that
-hashing gives them. Plans are bounded by PlanConfig.planned_keys, which is why
-they may be broadcast.
+A plan that moves keys is a table (keys, pid); all other keys keep the bucket that
+hashing gives them. Such plans are bounded by PlanConfig.planned_keys, which is why
+they may be broadcast. A plan by ranges is Bounds: the first keys of the ranges after
+the first, which rows are compared with where they lie, so they are exchanged once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +39,44 @@ def hash_bucket(df: DataFrame, keys: Sequence[str], partitions: int) -> Column:
     return F.when(null, 0).otherwise(F.pmod(F.xxhash64(*keys), F.lit(partitions))).cast("int")
 
 
+def decided(value: Column, bounds: Sequence, leaf: Callable[[int], Column], greater: Callable[[Column, object], Column]) -> Column:
+    """leaf(i) for the number i of bounds that are not greater than value: a binary search, as an expression."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return leaf(low)
+        mid = (low + high) // 2
+        return F.when(greater(value, bounds[mid]), between(low, mid)).otherwise(between(mid + 1, high))
+
+    return between(0, len(bounds))
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """Ranges of keys: bounds holds the first keys of the second and later ranges, pids each range's partition."""
+
+    keys: tuple[str, ...]
+    types: tuple[T.DataType, ...]
+    bounds: tuple[tuple, ...]
+    pids: tuple[int, ...]
+
+    def pid(self) -> Column:
+        """The partition of a row, by its keys; nulls come before all values."""
+
+        def literal(bound: tuple) -> Column:
+            return F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(self.keys, bound, self.types, strict=True)])
+
+        own = F.struct(*[F.col(k).cast(t).alias(k) for k, t in zip(self.keys, self.types, strict=True)])
+        return decided(own, self.bounds, lambda i: F.lit(self.pids[i]), lambda v, b: v < literal(b)).cast("int")
+
+
+def bounds_of(placed: DataFrame, keys: Sequence[str]) -> Bounds:
+    """The bounds of rows (keys, pid), one per key, whose pid rises with the keys: a row per partition reaches the driver."""
+    first = placed.groupBy("pid").agg(F.min(F.struct(*keys)).alias("first")).orderBy("pid").collect()
+    types = tuple(placed.schema[k].dataType for k in keys)
+    return Bounds(tuple(keys), types, tuple(tuple(r["first"]) for r in first[1:]), tuple(r.pid for r in first) or (0,))
+
+
 def key_loads(
     left: DataFrame, right: DataFrame | None, keys: Sequence[str], optype: str, cfg: PlanConfig, assume_symmetric: bool = False,
     combined: bool = False,
@@ -98,10 +138,13 @@ def moved_keys(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> dict:
     return planner(listed, cfg.partitions, cfg.tolerance, fixed)
 
 
-def make_plan(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataFrame:
-    """(keys, pid): the moved keys under cfg.strategy; none for hash."""
+Plan = DataFrame | Bounds
+
+
+def make_plan(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> Plan:
+    """The moved keys (keys, pid) or the ranges under cfg.strategy; no key for hash."""
     if cfg.strategy in ("minmax", "range"):
-        return {"minmax": minmax_plan, "range": range_plan}[cfg.strategy](loads, keys, cfg)
+        return bounds_of({"minmax": minmax_plan, "range": range_plan}[cfg.strategy](loads, keys, cfg), keys)
     return _plan_of({} if cfg.strategy == "hash" else moved_keys(loads, keys, cfg), loads, keys)
 
 
@@ -114,17 +157,16 @@ def _plan_of(moved: dict, loads: DataFrame, keys: Sequence[str]) -> DataFrame:
 def minmax_plan(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataFrame:
     """(keys, pid): every key, in contiguous segments of the key order whose largest load is least.
 
-    Keys beyond the bound of planned keys are merged into runs first, by
-    running total, so the driver sees a bounded number of weights.
+    The driver sees runs of neighbouring keys, whose running totals share one of
+    planned_keys equal steps. A key heavier than a step is a run of its own, and cuts
+    are exact to a step at any size.
     """
     cum = running_total(loads.select(*keys, "weight"), keys, "weight")
-    run = F.floor(F.col("cum") / F.col("grand") * F.lit(cfg.planned_keys)).cast("long")
-    n = loads.count()
-    spread = cum.withColumn("_run", F.col("cum") if n <= cfg.planned_keys else run)
-    runs = spread.groupBy("_run").agg(F.sum("weight").alias("w")).orderBy("_run").collect()
+    step = F.floor(F.col("cum") / F.nullif("grand", F.lit(0.0)) * F.lit(cfg.planned_keys))
+    spread = cum.withColumn("_run", F.coalesce(step, F.lit(0)).cast("long"))
+    runs = spread.groupBy("_run").agg(F.sum("weight").alias("w")).orderBy("_run").collect()  # at most planned_keys + 1
     cuts = planners.minmax_cuts([r.w for r in runs], cfg.partitions)
-    lasts = [runs[c]._run for c in cuts]
-    pid = F.size(F.filter(F.array(*map(F.lit, lasts)), lambda x: F.col("_run") > x)) if lasts else F.lit(0)
+    pid = decided(F.col("_run"), [runs[c]._run + 1 for c in cuts], F.lit, lambda v, b: v < F.lit(b))
     return spread.select(*keys, pid.cast("int").alias("pid"))
 
 
@@ -135,24 +177,23 @@ def range_plan(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataFr
     return cum.select(*keys, F.coalesce(F.least(F.lit(cfg.partitions - 1), pid), F.lit(0)).cast("int").alias("pid"))
 
 
-def with_pid(df: DataFrame, keys: Sequence[str], plan: DataFrame | None, partitions: int, whole: bool = False) -> DataFrame:
-    """df with pid: the plan's partition of a key, else its hash bucket.
-
-    whole: the plan lists every key (minmax), so it is joined without a broadcast hint.
-    """
+def with_pid(df: DataFrame, keys: Sequence[str], plan: Plan | None, partitions: int) -> DataFrame:
+    """df with pid: the plan's partition of a key, else its hash bucket."""
+    if isinstance(plan, Bounds):
+        return df.withColumn("pid", plan.pid())
     bucket = hash_bucket(df, keys, partitions)
     if plan is None:
         return df.withColumn("pid", bucket)
     names = [f"_plan_{i}" for i in range(len(keys))]
     renamed = plan.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("pid").alias("_pid"))
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
-    joined = df.join(renamed if whole else F.broadcast(renamed), match, "left")  # at most planned_keys rows
+    joined = df.join(F.broadcast(renamed), match, "left")  # at most planned_keys rows
     return joined.select(*df.columns, F.coalesce("_pid", bucket).alias("pid"))
 
 
-def place(df: DataFrame, keys: Sequence[str], plan: DataFrame | None, partitions: int, whole: bool = False) -> DataFrame:
+def place(df: DataFrame, keys: Sequence[str], plan: Plan | None, partitions: int) -> DataFrame:
     """df sent to partition pid of so many."""
-    return with_pid(df, keys, plan, partitions, whole).repartitionById(partitions, F.col("pid"))
+    return with_pid(df, keys, plan, partitions).repartitionById(partitions, F.col("pid"))
 
 
 def range_place(df: DataFrame, keys: Sequence[str], partitions: int, descending: bool = False) -> DataFrame:
@@ -191,36 +232,58 @@ def split_shares(split: DataFrame, key: str, partitions: int) -> DataFrame:
     return cut.select(F.col("pid").cast("int").alias("pid"), key, load.alias("load"))
 
 
-def split_place(df: DataFrame, key: str, split: DataFrame, partitions: int, seed: int = 42) -> DataFrame:
-    """df with pid: a row of a key goes to the range at a random point of the key's stretch."""
-    spots = split.select(F.col(key).alias("_key"), "prev", "weight", "step")
-    joined = df.join(spots, F.col(key).eqNullSafe(F.col("_key")))
-    pid = F.least(F.lit(partitions - 1), F.floor((F.col("prev") + F.rand(seed) * F.col("weight")) / F.col("step"))).cast("int")
-    return joined.select(*df.columns, pid.alias("pid"))
-
+def split_place(df: DataFrame, key: str, split: DataFrame, partitions: int, seed: int = 42, descending: bool = False) -> DataFrame:
+    """df with pid: a row of a key in which bounds fall goes to the range at a random point of the key's stretch.
 
-def balanced_sort(df: DataFrame, key: str, partitions: int, descending: bool = False, seed: int = 42) -> DataFrame:
-    """df sorted by key over so many partitions of even size, heavy keys split; adds position, from 1."""
+    Only those keys, fewer than partitions, reach the driver; rows are compared with them where they lie.
+    """
+    first, last = F.floor(F.col("prev") / F.col("step")) + 1, F.floor(F.col("cum") / F.col("step"))
+    held = split.where((F.col("weight") > 0) & (first <= F.least(last, F.lit(partitions - 1)))).orderBy("prev").collect()
+    kind = split.schema[key].dataType
+    value = F.struct(F.col(key).cast(kind).alias("k"))
+    literal = lambda v: F.struct(F.lit(v).cast(kind).alias("k"))
+    after = (lambda v, b: v > literal(b)) if descending else (lambda v, b: v < literal(b))
+    spot = F.rand(seed)
+
+    def leaf(i: int) -> Column:
+        """Rows from the key of bound i - 1 on, before that of bound i."""
+        if not i:
+            return F.lit(0)
+        r = held[i - 1]
+        inside = F.floor((F.lit(r.prev) + spot * F.lit(r.weight)) / F.lit(r.step)).cast("int")
+        return F.when(value == literal(r[key]), inside).otherwise(F.lit(int(r.cum // r.step)))
+
+    pid = decided(value, [r[key] for r in held], leaf, after)
+    return df.withColumn("pid", F.least(F.lit(partitions - 1), pid).cast("int"))
+
+
+def balanced_sort(
+    df: DataFrame, key: str, partitions: int, descending: bool = False, seed: int = 42, positions: bool = True
+) -> DataFrame:
+    """df sorted by key over so many partitions of even size, heavy keys split; pid and, if wanted, position, from 1, are added."""
     weights = df.groupBy(key).agg(F.count("*").alias("weight"))
-    placed = materialize(
-        split_place(df, key, split_range(weights, key, partitions, descending=descending), partitions, seed), "sorted"
-    )
-    offsets = placed.groupBy("pid").agg(F.count("*").alias("n")).withColumn("_before", F.expr("sum(n) over (order by pid) - n")).drop("n")
+    split = split_range(weights, key, partitions, descending=descending)
+    sent = split_place(df, key, split, partitions, seed, descending).repartitionById(partitions, F.col("pid"))
+    if not positions:
+        return sent.sortWithinPartitions("pid", F.desc_nulls_last(key) if descending else F.asc_nulls_first(key))
     direction = "desc nulls last" if descending else "asc nulls first"
-    sent = placed.join(F.broadcast(offsets), "pid").repartitionById(partitions, F.col("pid"))  # a row per partition
-    return sent.withColumn("position", F.expr(f"_before + row_number() over (partition by pid order by `{key}` {direction})")).drop("_before")
+    ranked = materialize(sent.withColumn("position", F.expr(f"row_number() over (partition by pid order by `{key}` {direction})")), "sorted")
+    offsets = ranked.groupBy("pid").agg(F.count("*").alias("n")).withColumn("_before", F.expr("sum(n) over (order by pid) - n")).drop("n")
+    joined = ranked.join(F.broadcast(offsets), "pid")  # a row per partition
+    return joined.withColumn("position", F.col("_before") + F.col("position")).drop("_before")
 
 
-def choose(
-    cfg: PlanConfig, left: DataFrame, right: DataFrame | None, keys: Sequence[str], optype: str
-) -> tuple[DataFrame | None, bool]:
-    """The plan for an operator, None for hashing alone, and whether it lists every key."""
+def choose(cfg: PlanConfig, left: DataFrame, right: DataFrame | None, keys: Sequence[str], optype: str, combined: bool = False) -> Plan | None:
+    """The plan for an operator, or None for hashing alone.
+
+    combined: rows are merged by key within each input partition before they are sent.
+    """
     if cfg.strategy == "split_range":
         raise ValueError("split_range parts equal keys: it serves sorts, not joins or aggregations")
     if cfg.strategy == "hash":
-        return None, False
-    loads = key_loads(left, right, keys, optype, cfg)
+        return None
+    loads = key_loads(left, right, keys, optype, cfg, combined=combined)
     if cfg.strategy in ("minmax", "range"):
-        return make_plan(loads, keys, cfg), True
+        return make_plan(loads, keys, cfg)
     moved = moved_keys(loads, keys, cfg)
-    return (_plan_of(moved, loads, keys) if moved else None), False
+    return _plan_of(moved, loads, keys) if moved else None

@@ -17,6 +17,8 @@ from evenload.sources import text as text_io
 
 P = 8
 CFG = PlanConfig(partitions=P)
+#: Loads of queries that show them are counted, not sampled.
+EXACT = replace(CFG, sampler="exact")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -48,24 +50,24 @@ def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, price, status): two of three orders, so both join sides have unmatched keys."""
-    return table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(
+    """(k, price, status): all orders."""
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")
     )
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, line, qty): lineitem of half the orders."""
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(
-        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty")
+    """(k, line, qty): all of lineitem under the order key 500 further on, so both join sides have unmatched keys."""
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") + 500).alias("k"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty")
     )
 
 
 # Joins.
 
 _SIDES = """
-with o as (select o_orderkey as k, o_totalprice as price, o_orderstatus as status from orders where o_orderkey % 3 <> 0),
-l as (select l_orderkey as k, l_linenumber as line, l_quantity as qty from lineitem where l_orderkey % 2 = 0)
+with o as (select o_orderkey as k, o_totalprice as price, o_orderstatus as status from orders),
+l as (select l_orderkey + 500 as k, l_linenumber as line, l_quantity as qty from lineitem)
 """
 
 
@@ -163,8 +165,8 @@ def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Cost model.
 
 _V = """with v as (select coalesce(a.k, b.k) as k, coalesce(a.n, 0)::double as v1, coalesce(b.n, 0)::double as v2 from
-(select o_orderkey as k, count(*) as n from orders where o_orderkey % 3 <> 0 group by 1) a full join
-(select l_orderkey as k, count(*) as n from lineitem where l_orderkey % 2 = 0 group by 1) b on a.k = b.k)
+(select o_orderkey as k, count(*) as n from orders group by 1) a full join
+(select l_orderkey + 500 as k, count(*) as n from lineitem group by 1) b on a.k = b.k)
 """
 #: The load of a key by operator type, as SQL over v1 and v2.
 WEIGHT_SQL = {
@@ -182,7 +184,7 @@ for _type, _sql in WEIGHT_SQL.items():
     @query(f"key_weight_{_type}", f"{_V} select k, v1, v2, {_sql} as weight from v")
     def weights(spark: SparkSession, sf_dir: str, optype: str = _type) -> DataFrame:
         """Loads of a two-input operator."""
-        loads = placement.key_loads(orders(spark, sf_dir), lines(spark, sf_dir), ["k"], optype, CFG)
+        loads = placement.key_loads(orders(spark, sf_dir), lines(spark, sf_dir), ["k"], optype, EXACT)
         return loads.select("k", "v1", "v2", "weight")
 
 
@@ -191,25 +193,25 @@ for _type, _sql in {"groupByKey": "v + 1", "combine": "v + 1", "sort": "2 * v"}.
     @query(f"key_weight_{_type}", f"select k, v, {_sql} as weight from (select {HOT} as k, count(*)::double as v from lineitem group by 1)")
     def one_sided(spark: SparkSession, sf_dir: str, optype: str = _type) -> DataFrame:
         """Loads of a one-input operator."""
-        loads = placement.key_loads(hot(spark, sf_dir), None, ["k"], optype, CFG)
+        loads = placement.key_loads(hot(spark, sf_dir), None, ["k"], optype, EXACT)
         return loads.select("k", F.col("v1").alias("v"), "weight")
 
 
 @query("key_weight_symmetric", f"select k, v * v + 2 * v as weight from (select {HOT} as k, count(*)::double as v from lineitem group by 1)")
 def symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A join costed from one side alone."""
-    return placement.key_loads(hot(spark, sf_dir), None, ["k"], "join", CFG, assume_symmetric=True).select("k", "weight")
+    return placement.key_loads(hot(spark, sf_dir), None, ["k"], "join", EXACT, assume_symmetric=True).select("k", "weight")
 
 
 @query(
     "key_weight_reduceByKey",
-    f"select k, count(distinct part)::double as v, count(distinct part) + 1.0::double as weight from (select {HOT} as k, l_linenumber % 4 as part from lineitem) group by 1",
+    f"select k, count(distinct part)::double as v, count(distinct part) + 1.0::double as weight from (select {HOT} as k, l_suppkey % 4 as part from lineitem) group by 1",
 )
 def reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """After map-side combining: a row of each part that holds the key, and the result."""
-    li = table(spark, sf_dir, "lineitem").select(F.expr(HOT).cast("long").alias("k"), (F.col("l_linenumber") % 4).alias("part"))
-    held = sampling.distinct_keys(li.withColumnRenamed("part", "part_id"), ["k"]).groupBy("k").agg(F.count("*").alias("v"))
-    return held.select("k", F.col("v").cast("double").alias("v"), cost.key_weight("reduceByKey", F.col("v")).alias("weight"))
+    """After map-side combining: a row of each of four input partitions that holds the key, and the result."""
+    li = table(spark, sf_dir, "lineitem").select(F.expr(HOT).cast("long").alias("k"), (F.col("l_suppkey") % 4).cast("int").alias("part"))
+    loads = placement.key_loads(li.repartitionById(4, F.col("part")), None, ["k"], "reduceByKey", EXACT, combined=True)
+    return loads.select("k", F.col("v1").alias("v"), "weight")
 
 
 # Balance.
@@ -244,7 +246,7 @@ def bytes_per_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("hash_load", f"with k as (select {HOT} as k, 2.0::double * count(*) as w from lineitem group by 1), every as (select unnest(range({P}))::int as pid) select pid, coalesce(sum(w), 0) as load from every left join k on k % {P} = pid group by 1")
 def hash_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The load of each hash bucket."""
-    return placement.bucket_loads(placement.key_loads(hot(spark, sf_dir), None, ["k"], "sort", CFG), P)
+    return placement.bucket_loads(placement.key_loads(hot(spark, sf_dir), None, ["k"], "sort", EXACT), P)
 
 
 @query("fos_hash", f"{_HOT_LOADS} select round(stddev_pop(rows) / avg(rows), 9) as fos from loads")
@@ -269,7 +271,7 @@ def _out_and_in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[DataF
     """
     o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 64).alias("k"))
     sides = [metrics.balance(placement.place(x, ["k"], None, P), P) for x in (hot(spark, sf_dir).select("k"), o)]
-    loads = placement.key_loads(hot(spark, sf_dir), o, ["k"], "join", CFG)
+    loads = placement.key_loads(hot(spark, sf_dir), o, ["k"], "join", EXACT)
     made = loads.groupBy(F.col("bucket").alias("pid")).agg(F.sum(F.col("v1") * F.col("v2")).cast("long").alias("rows"))
     out = metrics.every_partition(spark, P).join(made, "pid", "left").select("pid", F.coalesce("rows", F.lit(0)).alias("rows"))
     return out, sides
@@ -321,7 +323,7 @@ mean as (select sum(w) / {P} as mean from k)
 @query("overloaded_buckets", f"{_KEYS} select pid, load from loads, mean where load > 1.2 * mean")
 def overloaded_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash buckets beyond the tolerated load."""
-    loads, _ = _planned(spark, sf_dir, replace(CFG, strategy="hash"))
+    loads, _ = _planned(spark, sf_dir, replace(EXACT, strategy="hash"))
     by_bucket = placement.bucket_loads(loads, P).withColumn("mean", F.expr(f"sum(load) over () / {P}"))
     return by_bucket.where("load > 1.2 * mean").select("pid", "load")
 
@@ -338,28 +340,118 @@ def overloaded_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def evicted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that overloaded buckets give up."""
-    loads, _ = _planned(spark, sf_dir, replace(CFG, strategy="hash"))
-    listed, fixed = placement.collected(loads, ["k"], CFG)
+    loads, _ = _planned(spark, sf_dir, replace(EXACT, strategy="hash"))
+    listed, fixed = placement.collected(loads, ["k"], EXACT)
     gone = planners.shed(listed, P, CFG.tolerance, fixed).movable
     return spark.createDataFrame([(*x.key, x.weight, x.bucket) for x in gone], "k long, weight double, bucket int")
 
 
+# Plans in SQL: first and best fit walk over the evicted keys one by one, with the buckets' loads in a list.
+
+_EVICTED = f"""{_KEYS.replace("with k", "with recursive k", 1)}, ranked as (
+  select b.k, b.w, b.pid, row_number() over (partition by b.pid order by b.w desc, b.k) as r
+  from b join loads using (pid), mean where load > 1.2 * mean),
+shed as (select k, w, pid, r, w as held, false as gone from ranked where r = 1 union all
+  select n.k, n.w, n.pid, n.r, case when held + n.w <= 1.2 * mean then held + n.w else held end, held + n.w > 1.2 * mean
+  from shed join ranked n on n.pid = shed.pid and n.r = shed.r + 1, mean),
+every as (select unnest(range({P}))::int as pid),
+kept as (
+  select every.pid, coalesce(load, 0) - coalesce((select sum(w) from shed where gone and shed.pid = every.pid), 0) as load
+  from every left join loads using (pid)),
+begin as (
+  select (select list(load order by pid) from kept) as loads,
+    (select list(pid order by load, pid) from kept) as emptiest,
+    (select list({{'k': k, 'w': w}} order by pid, r) from shed where gone) as keys,
+    (select list({{'k': k, 'w': w}} order by w desc, k) from shed where gone) as heaviest),
+"""
+_FIRST_FIT = f"""{_EVICTED}
+walk as (
+  select 0 as step, loads, [-1 for x in keys] as put from begin union all
+  select step + 1,
+    case when fits then [case when i = bucket then loads[i + 1] + w else loads[i + 1] end for i in range({P})] else loads end,
+    case when fits then [case when i = spot then bucket else put[i + 1] end for i in range(len(put))] else put end
+  from (
+    select step, walk.loads, put, step % len(keys) as spot, emptiest[1 + step // len(keys)] as bucket, keys[1 + step % len(keys)].w as w,
+      put[1 + step % len(keys)] < 0 and keys[1 + step % len(keys)].w <= mean - walk.loads[1 + emptiest[1 + step // len(keys)]] as fits
+    from walk, begin, mean where step < {P} * len(keys))),
+done as (select walk.loads, put, keys from walk, begin order by step desc limit 1),
+placed as (select unnest(keys).k as k, unnest(keys).w as w, unnest(put) as pid from done),
+rest as (select k, row_number() over (order by w desc, k) - 1 as r from placed where pid < 0),
+left_over as (select list(i order by loads[i + 1], i) as emptiest from done, (select unnest(range({P})) as i)),
+plan as (select k, pid from placed where pid >= 0 union all select k, emptiest[1 + r % {P}] from rest, left_over)
+"""
+_BEST_FIT = f"""{_EVICTED}
+walk as (
+  select 0 as step, loads, []::int[] as put from begin union all
+  select step + 1, [case when i = bucket then loads[i + 1] + w else loads[i + 1] end for i in range({P})], list_append(put, bucket)
+  from (
+    select step, walk.loads, put, heaviest[1 + step].w as w,
+      coalesce(
+        list_min([{{'room': mean - walk.loads[i + 1], 'pid': i}} for i in range({P}) if mean - walk.loads[i + 1] >= heaviest[1 + step].w]),
+        list_max([{{'room': mean - walk.loads[i + 1], 'pid': i}} for i in range({P})])).pid as bucket
+    from walk, begin, mean where step < len(heaviest))),
+done as (select put, heaviest from walk, begin order by step desc limit 1),
+plan as (select unnest(heaviest).k as k, unnest(put) as pid from done)
+"""
+_RANGES = f"""{_KEYS}, cum as (select k, w, sum(w) over (order by k) as cum, sum(w) over () as grand from k),
+plan as (select k, least({P - 1}, floor((cum - w) * {P} / grand)) as pid from cum)
+"""
+_PLANS = {"range": _RANGES, "first_fit": _FIRST_FIT, "best_fit": _BEST_FIT}
+_BALANCE = f""", buckets as (select unnest(range({P}))::int as pid),
+after as (select coalesce(plan.pid, b.pid)::int as pid, sum(w) as load from b left join plan using (k) group by 1)
+select pid, coalesce(loads.load, 0) as hashed, coalesce(after.load, 0) as planned from buckets left join loads using (pid) left join after using (pid)"""
+
 for _strategy in ("range", "first_fit", "best_fit", "minmax"):
 
-    @query(f"{_strategy}_plan")
+    @query(f"{_strategy}_plan", f"{_PLANS[_strategy]} select k, pid::int as pid from plan" if _strategy in _PLANS else None)
     def plan(spark: SparkSession, sf_dir: str, strategy: str = _strategy) -> DataFrame:
         """Keys and the partition they move to."""
-        return _planned(spark, sf_dir, replace(CFG, strategy=strategy))[1].select("k", "pid")
+        loads, moved = _planned(spark, sf_dir, replace(EXACT, strategy=strategy))
+        if isinstance(moved, placement.Bounds):
+            return placement.with_pid(loads, ["k"], moved, P).select("k", "pid")
+        return moved.select("k", "pid")
 
-    @query(f"{_strategy}_balance")
+    @query(f"{_strategy}_balance", f"{_PLANS[_strategy]} {_BALANCE}" if _strategy in _PLANS else None)
     def plan_balance(spark: SparkSession, sf_dir: str, strategy: str = _strategy) -> DataFrame:
         """The load of each partition under hashing and under the plan."""
-        loads, moved = _planned(spark, sf_dir, replace(CFG, strategy=strategy))
-        after = placement.with_pid(loads, ["k"], moved, P, whole=strategy in ("minmax", "range")).groupBy("pid").agg(F.sum("weight").alias("planned"))
+        loads, moved = _planned(spark, sf_dir, replace(EXACT, strategy=strategy))
+        after = placement.with_pid(loads, ["k"], moved, P).groupBy("pid").agg(F.sum("weight").alias("planned"))
         before = placement.bucket_loads(loads, P)
         return before.join(after, "pid", "left").select("pid", F.col("load").alias("hashed"), F.coalesce("planned", F.lit(0.0)).alias("planned"))
 
 
+def _minmax_sql() -> str:
+    """The least largest load of contiguous segments, by dynamic programming: a common table expression per segment."""
+    parts = [
+        _KEYS + ", cum as (select row_number() over (order by k) as i, sum(w) over (order by k) as cum from k)",
+        "ends as (select i, cum from cum union all select 0, 0.0)",
+        "s1 as (select i, cum as best from ends)",
+    ]
+    for j in range(2, P + 1):
+        parts.append(
+            f"s{j} as (select b.i, min(greatest(s{j - 1}.best, b.cum - a.cum)) as best from ends b join ends a on a.i <= b.i join s{j - 1} on s{j - 1}.i = a.i group by 1)"
+        )
+    return ",\n".join(parts) + f" select best as peak, true as in_order from s{P} order by i desc limit 1"
+
+
+@query("minmax_peak", _minmax_sql())
+def minmax_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest load of the min-max segments, and whether segments follow the order of keys."""
+    loads, moved = _planned(spark, sf_dir, replace(EXACT, strategy="minmax"))
+    per = placement.with_pid(loads, ["k"], moved, P).groupBy("pid").agg(
+        F.sum("weight").alias("load"), F.min("k").alias("low"), F.max("k").alias("high")
+    )
+    follows = per.withColumn("in_order", F.expr("low > lag(high, 1, -1L) over (order by pid)"))
+    return follows.agg(F.max("load").alias("peak"), F.bool_and("in_order").alias("in_order"))
+
+
+@query("stock_range_place", f"select ({HOT})::bigint as k, count(*) as n, 1::bigint as parts from lineitem group by 1")
+def stock_range_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by Spark's own ranges: a key's rows and the partitions that hold them."""
+    sent = placement.range_place(hot(spark, sf_dir), ["k"], P).withColumn("pid", F.spark_partition_id())
+    return sent.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("pid").alias("parts"))
+
+
 # Splitting ranges and sorting.
 
 _CUM = f"""with k as (select {HOT} as k, count(*)::double as w from lineitem group by 1),
@@ -473,6 +565,48 @@ def rejection_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.agg(F.round(F.sum(F.col("freq") * F.col("weight")), 3).alias("rows"))
 
 
+def _four(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot keys in four input partitions of known rows."""
+    li = table(spark, sf_dir, "lineitem").select(F.expr(HOT).cast("long").alias("k"), (F.col("l_suppkey") % 4).cast("int").alias("part"))
+    return li.repartitionById(4, F.col("part"))
+
+
+_FOUR = "with f as (select (l_suppkey % 4)::int as part_id, count(*) as part_rows from lineitem group by 1)"
+
+
+def _sizes(sample: DataFrame) -> DataFrame:
+    """Rows, sample and distinct sampled rows of each input partition."""
+    return sample.groupBy("part_id").agg(F.max("part_rows").alias("part_rows"), F.max("part_sample").alias("part_sample"), F.count("*").alias("rows"))
+
+
+@query("reservoir_sizes", f"{_FOUR} select part_id, part_rows, least(500, part_rows) as part_sample, least(500, part_rows) as rows from f")
+def reservoir_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each input partition a reservoir holds."""
+    return _sizes(sampling.reservoir(_four(spark, sf_dir), 500))
+
+
+@query(
+    "rejection_sizes",
+    f"{_FOUR}, s as (select *, least(part_rows, greatest(100, least(floor(0.2::double * part_rows)::bigint, 1000))) as size from f) select part_id, part_rows, size as part_sample, size as rows from s",
+)
+def rejection_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each input partition a sample at a rate holds."""
+    return _sizes(sampling.exact_rate(_four(spark, sf_dir), 100, 0.2, 10.0))
+
+
+@query("weighted_sizes", f"{_FOUR} select round(part_rows / least(200, part_rows), 9) as weight, sum(least(200, part_rows))::bigint as n from f group by 1")
+def weighted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled keys by weight: one over the chance of being sampled."""
+    keys = sampling.weighted_keys(_four(spark, sf_dir), ["k"], 200)
+    return keys.groupBy(F.round("weight", 9).alias("weight")).agg(F.count("*").alias("n"))
+
+
+@query("full_fraction_sketch", f"select (l_suppkey % 4)::int as part_id, ({HOT})::bigint as k, count(*) as freq, 1.0::double as weight from lineitem group by 1, 2")
+def full_fraction_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sketch of samples that hold all rows of all input partitions: exact frequencies of weight 1."""
+    return sampling.key_sketch(sampling.reservoir(_four(spark, sf_dir), 10**9, fraction=1.0), ["k"])
+
+
 @query("reservoir_sketch")
 def reservoir_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key frequencies of reservoir samples of the input partitions."""

@@ -26,8 +26,12 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-#: Drops the shuffle files of a query when it ends: what it made is in the shared folder.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: In force while an intermediate is written: its shuffle files go when it is in the
+#: shared folder, and rows with long texts reach Python in small batches.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
@@ -37,15 +41,14 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/evenload/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     where, files = _files(spark, path)
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)

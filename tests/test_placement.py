@@ -128,6 +128,49 @@ def test_metrics(spark):
     assert [tuple(r) for r in metrics.balance(df, 4, ["k"], "p").orderBy("pid").collect()] == [(0, 2, 1), (1, 0, 0), (2, 0, 0), (3, 1, 1)]
 
 
+@pytest.mark.parametrize("strategy", ["minmax", "range"])
+def test_ranges_exchange_each_side_once(sides, strategy):
+    left, right = sides
+    out = placed.placed_join(left, right, ["k"], "inner", replace(CFG, strategy=strategy))
+    assert metrics.exchanges(out.groupBy("pid", "k").count()) == 2
+
+
+def test_a_sort_exchanges_rows_once(spark):
+    df = spark.range(1000).select((F.col("id") % 9).alias("k"))
+    out = placement.balanced_sort(df, "k", 4, positions=False)
+    assert metrics.exchanges(out) == 1
+    ks = [r.k for r in out.collect()]
+    assert ks == sorted(ks) and len(ks) == 1000
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_split_rows_follow_the_shares(spark, descending):
+    rows = [(None,)] * 300 + [("a",)] * 50 + [("b",)] * 1500 + [(c,) for c in "cdefgh" * 25]
+    df = spark.createDataFrame(rows, "k string")
+    split = placement.split_range(df.groupBy("k").agg(F.count("*").alias("weight")), "k", 5, descending=descending)
+    want = {(r.pid, r.k): r.load for r in placement.split_shares(split, "k", 5).collect()}
+    got = placement.split_place(df, "k", split, 5, descending=descending).groupBy("pid", "k").count().collect()
+    assert {(r.pid, r.k) for r in got} <= set(want)
+    for r in got:
+        share = next(n for k, n in ((None, 300), ("a", 50), ("b", 1500), *((c, 25) for c in "cdefgh")) if k == r.k)
+        assert r["count"] == share or abs(r["count"] - want[r.pid, r.k]) < 5 * (share**0.5)
+    per = {}
+    for r in got:
+        per.setdefault(r.pid, []).append(r.k)
+    flat = [sorted(per[p], key=lambda k: (k is not None, k or ""), reverse=descending) for p in sorted(per)]
+    order = [k for part in flat for k in part]
+    assert [k for i, k in enumerate(order) if not i or order[i - 1] != k] == sorted(set(order), key=lambda k: (k is not None, k or ""), reverse=descending)
+
+
+def test_bounds_of_several_keys_and_nulls(spark):
+    rows = [(a, b, p) for p, (a, b) in enumerate([(None, None), (None, "x"), (1, None), (1, "m"), (2, "a")])]
+    plan = placement.bounds_of(spark.createDataFrame(rows, "a int, b string, pid int"), ["a", "b"])
+    asked = spark.createDataFrame([(None, None), (None, "a"), (None, "z"), (0, "q"), (1, None), (1, "a"), (1, "z"), (2, "a"), (9, None)], "a int, b string")
+    assert [r.pid for r in placement.with_pid(asked, ["a", "b"], plan, 5).collect()] == [0, 0, 1, 1, 2, 2, 3, 4, 4]
+    empty = placement.bounds_of(spark.createDataFrame([], "a int, b string, pid int"), ["a", "b"])
+    assert {r.pid for r in placement.with_pid(asked, ["a", "b"], empty, 5).collect()} == {0}
+
+
 def test_config_is_checked():
     for bad in ({"strategy": "x"}, {"sampler": "x"}, {"partitions": 0}):
         with pytest.raises(ValueError):
