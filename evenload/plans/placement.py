@@ -8,9 +8,11 @@ the first, which rows are compared with where they lie, so they are exchanged on
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ from evenload.plans.prefix import running_total
 from evenload.scratch import materialize
 
 
+log = logging.getLogger(__name__)
+
+
 def hash_bucket(df: DataFrame, keys: Sequence[str], partitions: int) -> Column:
     """The bucket of a key; null keys go to 0.
 
@@ -109,10 +114,11 @@ def collected(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> tuple[l
     """The heaviest keys of overloaded buckets, a bounded number, and per bucket the load of all other keys.
 
     Without an overloaded bucket no key is listed, which is all a planner needs to move none.
+    Keys beyond the bound keep their bucket; how much load that is goes to the log.
     """
     fixed = [0.0] * cfg.partitions
-    for r in bucket_loads(loads, cfg.partitions).collect():
-        fixed[r.pid] = r.load
+    for r in loads.groupBy("bucket").agg(F.sum("weight").alias("load")).collect():
+        fixed[r.bucket] = r.load
     bound = cfg.tolerance * sum(fixed) / cfg.partitions
     crowded = [b for b, load in enumerate(fixed) if load > bound]
     if not crowded:
@@ -122,6 +128,9 @@ def collected(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> tuple[l
     listed = [planners.KeyLoad(tuple(_frozen(r[k]) for k in keys), r.weight, r.bucket) for r in top]
     for k in listed:
         fixed[k.bucket] -= k.weight
+    over = sum(max(0.0, fixed[b] - bound) for b in crowded)
+    if len(top) == cfg.planned_keys and over > 0:
+        log.warning("overloaded buckets hold more than %d keys: a load of %.0f beyond the bound stays", cfg.planned_keys, over)
     return listed, [max(0.0, x) for x in fixed]
 
 
@@ -130,11 +139,7 @@ def moved_keys(loads: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> dict:
     planner = {"first_fit": planners.first_fit, "best_fit": planners.best_fit}.get(cfg.strategy)
     if planner is None:
         raise ValueError(f"{cfg.strategy} does not move whole keys")
-    held = loads.persist()  # read for the bucket sums and again for their keys
-    try:
-        listed, fixed = collected(held, keys, cfg)
-    finally:
-        held.unpersist()
+    listed, fixed = collected(loads, keys, cfg)
     return planner(listed, cfg.partitions, cfg.tolerance, fixed)
 
 
@@ -232,14 +237,47 @@ def split_shares(split: DataFrame, key: str, partitions: int) -> DataFrame:
     return cut.select(F.col("pid").cast("int").alias("pid"), key, load.alias("load"))
 
 
-def split_place(df: DataFrame, key: str, split: DataFrame, partitions: int, seed: int = 42, descending: bool = False) -> DataFrame:
+class Stretch(NamedTuple):
+    """A key in which bounds fall, the weight before it and through it, and a range's share."""
+
+    key: object
+    prev: float
+    cum: float
+    step: float
+
+
+def cut_keys(split: DataFrame, key: str, partitions: int) -> list[Stretch]:
+    """The keys in which bounds fall, fewer than partitions."""
+    first, last = F.floor(F.col("prev") / F.col("step")) + 1, F.floor(F.col("cum") / F.col("step"))
+    held = split.where((F.col("weight") > 0) & (first <= F.least(last, F.lit(partitions - 1)))).orderBy("prev")
+    return [Stretch(r[key], r.prev, r.cum, r.step) for r in held.collect()]
+
+
+def sampled_cut_keys(df: DataFrame, key: str, partitions: int, seed: int = 42, descending: bool = False, per: int = 2000) -> list[Stretch]:
+    """The keys in which bounds fall by a sample of about so many rows a partition, all rows of a small table.
+
+    The sample's keys, a bounded number, reach the driver in order.
+    """
+    rate = min(1.0, per * partitions / max(1, df.count()))
+    rows = df.select(key) if rate == 1 else df.select(key).sample(fraction=rate, seed=seed)
+    order = F.desc_nulls_last(key) if descending else F.asc_nulls_first(key)
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(order).collect()
+    step, cum, out = sum(r.n for r in counts) / partitions, 0, []
+    for r in counts:
+        prev, cum = cum, cum + r.n
+        if prev // step + 1 <= min(cum // step, partitions - 1):
+            out.append(Stretch(r[key], prev, cum, step))
+    return out
+
+
+def split_place(
+    df: DataFrame, key: str, held: list[Stretch], partitions: int, seed: int = 42, descending: bool = False
+) -> DataFrame:
     """df with pid: a row of a key in which bounds fall goes to the range at a random point of the key's stretch.
 
-    Only those keys, fewer than partitions, reach the driver; rows are compared with them where they lie.
+    Rows are compared with those keys where they lie.
     """
-    first, last = F.floor(F.col("prev") / F.col("step")) + 1, F.floor(F.col("cum") / F.col("step"))
-    held = split.where((F.col("weight") > 0) & (first <= F.least(last, F.lit(partitions - 1)))).orderBy("prev").collect()
-    kind = split.schema[key].dataType
+    kind = df.schema[key].dataType
     value = F.struct(F.col(key).cast(kind).alias("k"))
     literal = lambda v: F.struct(F.lit(v).cast(kind).alias("k"))
     after = (lambda v, b: v > literal(b)) if descending else (lambda v, b: v < literal(b))
@@ -250,20 +288,22 @@ def split_place(df: DataFrame, key: str, split: DataFrame, partitions: int, seed
         if not i:
             return F.lit(0)
         r = held[i - 1]
-        inside = F.floor((F.lit(r.prev) + spot * F.lit(r.weight)) / F.lit(r.step)).cast("int")
-        return F.when(value == literal(r[key]), inside).otherwise(F.lit(int(r.cum // r.step)))
+        inside = F.floor((F.lit(float(r.prev)) + spot * F.lit(float(r.cum - r.prev))) / F.lit(float(r.step))).cast("int")
+        return F.when(value == literal(r.key), inside).otherwise(F.lit(int(r.cum // r.step)))
 
-    pid = decided(value, [r[key] for r in held], leaf, after)
+    pid = decided(value, [r.key for r in held], leaf, after)
     return df.withColumn("pid", F.least(F.lit(partitions - 1), pid).cast("int"))
 
 
 def balanced_sort(
     df: DataFrame, key: str, partitions: int, descending: bool = False, seed: int = 42, positions: bool = True
 ) -> DataFrame:
-    """df sorted by key over so many partitions of even size, heavy keys split; pid and, if wanted, position, from 1, are added."""
-    weights = df.groupBy(key).agg(F.count("*").alias("weight"))
-    split = split_range(weights, key, partitions, descending=descending)
-    sent = split_place(df, key, split, partitions, seed, descending).repartitionById(partitions, F.col("pid"))
+    """df sorted by key over so many partitions of even size, heavy keys split; pid and, if wanted, position, from 1, are added.
+
+    Bounds come from a sample of the keys.
+    """
+    held = sampled_cut_keys(df, key, partitions, seed, descending)
+    sent = split_place(df, key, held, partitions, seed, descending).repartitionById(partitions, F.col("pid"))
     if not positions:
         return sent.sortWithinPartitions("pid", F.desc_nulls_last(key) if descending else F.asc_nulls_first(key))
     direction = "desc nulls last" if descending else "asc nulls first"

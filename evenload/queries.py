@@ -499,8 +499,8 @@ def balanced_sort_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("balanced_sort_fos", "select true as even")
 def balanced_sort_fos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the largest partition of the balanced sort is within a tenth of the mean."""
-    split = _hot_split(spark, sf_dir)
-    sent = placement.split_place(hot(spark, sf_dir).select("k"), "k", split, P).repartitionById(P, F.col("pid"))
+    held = placement.cut_keys(_hot_split(spark, sf_dir), "k", P)
+    sent = placement.split_place(hot(spark, sf_dir).select("k"), "k", held, P).repartitionById(P, F.col("pid"))
     return metrics.max_over_mean(metrics.balance(sent, P)).select((F.col("peak") < 1.1).alias("even"))
 
 

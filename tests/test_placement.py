@@ -149,7 +149,7 @@ def test_split_rows_follow_the_shares(spark, descending):
     df = spark.createDataFrame(rows, "k string")
     split = placement.split_range(df.groupBy("k").agg(F.count("*").alias("weight")), "k", 5, descending=descending)
     want = {(r.pid, r.k): r.load for r in placement.split_shares(split, "k", 5).collect()}
-    got = placement.split_place(df, "k", split, 5, descending=descending).groupBy("pid", "k").count().collect()
+    got = placement.split_place(df, "k", placement.cut_keys(split, "k", 5), 5, descending=descending).groupBy("pid", "k").count().collect()
     assert {(r.pid, r.k) for r in got} <= set(want)
     for r in got:
         share = next(n for k, n in ((None, 300), ("a", 50), ("b", 1500), *((c, 25) for c in "cdefgh")) if k == r.k)
@@ -162,6 +162,15 @@ def test_split_rows_follow_the_shares(spark, descending):
     assert [k for i, k in enumerate(order) if not i or order[i - 1] != k] == sorted(set(order), key=lambda k: (k is not None, k or ""), reverse=descending)
 
 
+def test_sampled_cuts_even_out(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, F.lit("m")).otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("k"))
+    held = placement.sampled_cut_keys(df, "k", 6, per=1000)
+    assert 0 < len(held) < 6
+    sent = placement.split_place(df, "k", held, 6)
+    assert metrics.max_over_mean(metrics.balance(sent, 6, pid="pid")).first().peak < 1.15
+    assert placement.sampled_cut_keys(df.limit(0), "k", 6) == []
+
+
 def test_bounds_of_several_keys_and_nulls(spark):
     rows = [(a, b, p) for p, (a, b) in enumerate([(None, None), (None, "x"), (1, None), (1, "m"), (2, "a")])]
     plan = placement.bounds_of(spark.createDataFrame(rows, "a int, b string, pid int"), ["a", "b"])
