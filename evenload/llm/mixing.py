@@ -3,8 +3,8 @@
 1. Targets. Source weights share a budget of words; a target stops at a
    multiple of its source, and the excess is shared again (closed form over
    the table of sources).
-2. Quotas. Each source's documents are permuted by a keyed hash and cut into
-   blocks at leading digits of that hash. A target of p whole sources and a rest
+2. Quotas. Each source's documents are permuted by a keyed hash of id and text and cut
+   into 4096 blocks at leading digits of that hash. A target of p whole sources and a rest
    takes every block p times and the rest from the blocks in permuted order;
    the block where the rest ends gives a prefix of its documents.
 3. Tree. All block draws start at the root. A node that serves several output
@@ -15,9 +15,11 @@
 
 Only (id, source, size, hash) rows move until documents are written out.
 
-Defined cases: a null text has size 0 and takes nothing; a null source is a
-source of its own that ranks last; rows that repeat an id are separate
-documents; an empty table gives an empty result; other columns are not read.
+Defined cases: a null text has size 0 and takes nothing; a text of any length is one
+document; a null source is a source of its own that ranks last; a null id is an id like any
+other; rows that repeat an id are separate documents, and of rows that repeat id and text, which
+are alike, the mix picks by a hash of all their columns; an empty table gives an empty result;
+other columns are not read, and ``_shard`` and ``_order`` of the mix replace columns of these names.
 """
 
 from __future__ import annotations
@@ -28,14 +30,15 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenload.scratch import materialize, shuffle_partitions
+from evenload.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def permutation_key(seed: str, id_col: str) -> Column:
-    """The keyed hash that permutes documents, as hex digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def permutation_key(seed: str, id_col: str, text_col: str) -> Column:
+    """The keyed hash of id and text that permutes documents, as hex digits."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text))
 
 
 def n_words(text_col: str) -> Column:
@@ -50,7 +53,7 @@ def sized(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: st
         F.coalesce(F.col(source_col), F.lit("")).alias("_source"),
         F.col(source_col).isNull().alias("_no_source"),
         n_words(text_col).alias("_size"),
-        permutation_key(seed, id_col).alias("_key"),
+        permutation_key(seed, id_col, text_col).alias("_key"),
     )
 
 
@@ -81,13 +84,14 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
 def split_tree(draws: DataFrame, n_shards: int, seed: str) -> DataFrame:
     """Adds shard to the block draws.
 
-    Level by level, each node's draws are ordered by a fresh hash and cut in
+    Level by level, each node's draws are ordered by a fresh MD5 and cut in
     proportion to the shards on either side. draws has a row per block draw:
     its number is bounded by blocks and passes per source, not by documents.
     """
     out = draws.withColumns({"_lo": F.lit(0), "_hi": F.lit(n_shards)})
     for level in range(ceil(log2(max(1, n_shards)))):
-        order = f"xxhash64('{seed}', {level}, _no_source, _source, block, pass), _source, block, pass"
+        lot = f"md5(concat('{seed}:{level}:', if(_no_source, 'none', 'some'), ':', _source, ':', block, ':', pass))"
+        order = f"{lot}, _no_source, _source, block, pass"
         out = (
             out.withColumn("_n", F.expr("count(*) over (partition by _lo, _hi)"))
             .withColumn("_at", F.expr(f"row_number() over (partition by _lo, _hi order by {order})"))
@@ -107,7 +111,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     n_shards: int = 16,
-    block_digits: int | None = None,
+    block_digits: int = 3,
     seed: str = "mix",
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -117,10 +121,8 @@ def mix(
 
     draws: array of (shard, pass, order), one for each time the mix takes the
     document; taken: its words times their number. Sources have 16 to the power
-    block_digits blocks each: 256, or 4096 beyond 1024 shuffle partitions. What is
-    taken of a document does not depend on that.
+    block_digits blocks each. Nothing depends on the session's settings.
     """
-    block_digits = block_digits or (2 if shuffle_partitions(docs.sparkSession) <= 1024 else 3)
     slim = materialize(
         sized(docs, seed, id_col, text_col, source_col).withColumn("block", F.substring("_key", 1, block_digits)),
         "mix",
@@ -184,16 +186,16 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
     not drawn are absent.
     """
     text_col = options.get("text_col", "text")
-    # Rows that repeat an id and a size share the lots drawn for them, in turn.
+    # Rows that repeat id and text share the lots drawn for them, in turn.
     lots = (
         mix(docs, seed=seed, id_col=id_col, **options)
         .where(F.size("draws") > 0)
         .groupBy("_key", F.col("size").alias("_size"))
-        .agg(F.collect_list("draws").alias("_lots"))
+        .agg(F.sort_array(F.collect_list("draws")).alias("_lots"))
     )
     turn = docs.select(
-        F.struct(*docs.columns).alias("_row"), permutation_key(seed, id_col).alias("_key"), n_words(text_col).alias("_size")
-    ).withColumn("_turn", F.expr("row_number() over (partition by _key, _size order by _key)"))
+        F.struct(*docs.columns).alias("_row"), permutation_key(seed, id_col, text_col).alias("_key"), n_words(text_col).alias("_size")
+    ).withColumn("_turn", F.expr("row_number() over (partition by _key, _size order by xxhash64(_row))"))
     drawn = turn.join(lots, ["_key", "_size"]).withColumn("_draw", F.explode(F.expr("get(_lots, _turn - 1)")))
     return drawn.select(
         *[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("_shard", "_order")],
