@@ -2,10 +2,12 @@
 
 Normalisation matches the longest prefix at each position in the model's
 compiled character map (a double-array trie over UTF-8 bytes followed by the
-replacement strings) and records, for every normalised byte, the original byte
-that it came from. White space becomes the escape symbol with the same record.
+replacement strings) and records, for every normalised byte, where the original bytes
+that it came from begin and end. White space becomes the escape symbol with the same record.
 Pieces partition the normalised bytes, so their lengths, summed up, give each
-piece's place there, and the record projects it to a span of the original text.
+piece's place there, and the record projects it to a span of the original text: from the
+beginning of its first byte to the end of its last. Pieces that share a replaced
+character share its span.
 
 Ids come from the library's own encoder, so they equal it by construction. The
 model travels to the executors as its bytes (a fixed size).
@@ -80,16 +82,17 @@ class Pieces:
         self.unknown = np.array([p.type == unknown for p in proto.pieces])
         self.own = [p.piece.encode() for p in proto.pieces if p.type == kind.USER_DEFINED]
 
-    def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """Normalised bytes and, for each of them and for the end, the original position."""
+    def normalise(self, data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Normalised bytes and, for each of them, where its original bytes begin and end."""
         if not data:
-            return b"", np.zeros(1, np.int64)
+            return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
         space = ESCAPE if self.spec.escape_whitespaces else b" "
         if not self.map.units and not self.spec.remove_extra_whitespaces and not self.suffix:
             raw = np.frombuffer(data, np.uint8)
             align = np.repeat(np.arange(len(raw)), np.where(raw == 0x20, len(space), 1))
             out, lead = data.replace(b" ", space), space if self.spec.add_dummy_prefix else b""
-            return lead + out, np.concatenate([np.zeros(len(lead), np.int64), align, [len(raw)]])
+            none = np.zeros(len(lead), np.int64)
+            return lead + out, np.concatenate([none, align]), np.concatenate([none, align + 1])
         parts: list[tuple[bytes, int, int]] = []
         at = 0
         while at < len(data):
@@ -103,38 +106,39 @@ class Pieces:
         if self.spec.remove_extra_whitespaces:
             while parts and parts[0][0].strip(b" ") == b"":
                 parts.pop(0)
-        out, align, last_space = bytearray(), [], self.spec.remove_extra_whitespaces
+        out, align = bytearray(), []
         if parts and self.spec.add_dummy_prefix and not self.suffix:
             out += space
-            align += [parts[0][1]] * len(space)
+            align += [(parts[0][1], parts[0][1])] * len(space)
         last_space = self.spec.remove_extra_whitespaces
         end = parts[-1][2] if parts else len(data)
-        for text, begin, _ in parts:
+        for text, begin, stop in parts:
             if last_space:
                 text = text.lstrip(b" ")
             for c in text:
                 new = space if c == 0x20 else bytes([c])
                 out += new
-                align += [begin] * len(new)
+                align += [(begin, stop)] * len(new)
             if text:
                 last_space = text.endswith(b" ") and self.spec.remove_extra_whitespaces
         if self.spec.remove_extra_whitespaces:
             while out.endswith(space):
-                end = align[-len(space)]
+                end = align[-len(space)][0]
                 del out[-len(space) :], align[-len(space) :]
         if out and self.spec.add_dummy_prefix and self.suffix:
             out += space
-            align += [end] * len(space)
-        return bytes(out), np.array([*align, end], np.int64)
+            align += [(end, end)] * len(space)
+        begins, ends = np.array(align, np.int64).reshape(-1, 2).T
+        return bytes(out), begins, ends
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The original bytes of each piece: begin and end, exclusive."""
         lengths = self.lengths[ids]
         if self.unknown[ids].any():
             lengths = np.array([len(p.encode()) if u else n for p, u, n in zip(self.processor.encode(text, out_type=str), self.unknown[ids], lengths, strict=True)], np.int64)
-        _, align = self.normalise(text.encode())
+        _, begins, stops = self.normalise(text.encode())
         ends = np.cumsum(lengths)
-        return align[ends - lengths], align[ends]
+        return begins[ends - lengths], stops[ends - 1]
 
 
 @functools.cache

@@ -109,13 +109,14 @@ def model_bytes() -> bytes:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of documents and their decoded texts, as digests."""
+    """SentencePiece ids of documents, the spans of original bytes that they stand for, and their decoded texts, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_documents(docs, model_bytes(), decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        F.sha2(F.encode(F.array_join(F.zip_with("begins", "ends", lambda b, e: F.concat_ws(":", b.cast("string"), e.cast("string"))), ","), "UTF-8"), 256).alias("spans_sha256"),
     )
 
 
@@ -210,13 +211,28 @@ from ruled left join low using (host)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents to 150 % of their words."""
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    draws = F.array_join(F.transform("draws", lambda d: F.concat(d["pass"].cast("string"), F.lit(":"), d["shard"].cast("string"))), ",")
+    return out.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken", draws.alias("draws"))
+
+
+def _tree_sql(n_shards: int, blocks: str) -> str:
+    """The splitting tree: a common table expression per level halves the shards of each node and deals its draws by MD5."""
+    parts = [f"t0 as (select source, block, pass, 0 as lo, {n_shards} as hi from {blocks})"]
+    for level in range((n_shards - 1).bit_length()):
+        lot = f"md5('mix:{level}:' || case when source is null then 'none' else 'some' end || ':' || coalesce(source, '') || ':' || block || ':' || pass)"
+        parts.append(f"""n{level} as (
+  select *, count(*) over (partition by lo, hi) as n, (lo + hi) // 2 as mid,
+    row_number() over (partition by lo, hi order by {lot}, source nulls last, block, pass) as spot from t{level}),
+t{level + 1} as (
+  select source, block, pass, case when hi - lo = 1 or spot <= n * (mid - lo) // (hi - lo) then lo else mid end as lo,
+    case when hi - lo > 1 and spot <= n * (mid - lo) // (hi - lo) then mid else hi end as hi from n{level})""")
+    return ",\n".join(parts) + f",\nshards as (select source, block, pass, lo as shard from t{(n_shards - 1).bit_length()})"
 
 
 OP10_SQL = r"""
 with slim as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    md5('mix:' || coalesce(doc_id::varchar, '')) as key
+    md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as key
   from documents),
 src as (select source, sum(size)::bigint as source_size from slim group by source),
 ranked as (
@@ -234,13 +250,22 @@ target as (
 quota as (
   select *, case when source_size = 0 then 0 else floor(target / source_size)::int end as passes from target),
 doc as (
-  select s.doc_id, s.size, q.source_size, q.target, q.passes, q.target - q.passes * q.source_size as rest,
+  select row_number() over () as rid, s.doc_id, s.source, s.size, q.source_size, q.target, q.passes,
+    q.target - q.passes * q.source_size as rest, substr(s.key, 1, 3) as block,
     sum(s.size) over (partition by s.source order by s.key, s.size rows between unbounded preceding and current row) - s.size as prior
-  from slim s join quota q on s.source is not distinct from q.source)
-select doc_id, size, source_size, target,
-  (size * (passes + case when size > 0 and 2 * prior + size <= 2 * rest then 1 else 0 end))::bigint as taken
-from doc
-"""
+  from slim s join quota q on s.source is not distinct from q.source),
+block as (
+  select source, block, passes, rest, source_size, sum(size) as block_size, min(prior) as before from doc group by all having sum(size) > 0),
+draw as (
+  select source, block, pass from (select *, unnest(range(passes + 1)) as pass from block) where pass < passes or before < rest),
+TREE,
+drawn as (
+  select doc.*, size > 0 and (pass < passes or 2 * prior + size <= 2 * rest) as takes, pass, shard
+  from doc left join shards on doc.source is not distinct from shards.source and doc.block = shards.block)
+select doc_id, size, source_size, target, (size * count(*) filter (where takes))::bigint as taken,
+  coalesce(string_agg(pass || ':' || shard, ',' order by pass) filter (where takes), '') as draws
+from drawn group by rid, doc_id, size, source_size, target
+""".replace("TREE", _tree_sql(16, "draw"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,

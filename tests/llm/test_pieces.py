@@ -19,8 +19,8 @@ def own():
 @pytest.mark.parametrize("text", TEXTS)
 def test_normaliser_and_spans(own, text):
     data = text.encode()
-    normal, align = own.normalise(data)
-    assert normal.decode() == own.processor.normalize(text) and len(align) == len(normal) + 1
+    normal, starts, stops = own.normalise(data)
+    assert normal.decode() == own.processor.normalize(text) and len(starts) == len(stops) == len(normal)
     ids = np.array(own.processor.encode(text), np.int64)
     if not len(ids):
         return
@@ -42,9 +42,9 @@ def test_compiled_character_maps(rule, extra):
     mine.spec, mine.suffix, mine.own = proto.normalizer_spec, False, []
     mine.map = pieces.CharacterMap(proto.normalizer_spec.precompiled_charsmap)
     for text in [*TEXTS, "  ﬁne ＡＢＣ ½ Ⅷ ", "㌔ｶﾞ ẞ Straße x​ y", "é́́"]:
-        normal, align = mine.normalise(text.encode())
+        normal, starts, stops = mine.normalise(text.encode())
         assert normal.decode() == library.normalize(text)
-        assert len(align) == len(normal) + 1 and (np.diff(align) >= 0).all()
+        assert len(starts) == len(stops) == len(normal) and (np.diff(starts) >= 0).all() and (starts <= stops).all()
 
 
 def test_documents(odd, own):
@@ -56,3 +56,30 @@ def test_documents(odd, own):
         assert r.ids == ids and r.decoded == r.again == own.processor.decode(ids)
         assert len(r.begins) == len(r.ends) == len(ids)
     assert pieces.encode_documents(odd.limit(0), model).count() == 0
+
+
+def mapped_model(rule):
+    """The model with the character map of another normaliser."""
+    proto, other = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(model_bytes())
+    other.ParseFromString(SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = other.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    return proto.SerializeToString()
+
+
+def test_documents_of_a_model_with_a_character_map(spark):
+    model = mapped_model("nmt_nfkc_cf")
+    own = pieces.Pieces(model)
+    assert own.map.units
+    texts = [*TEXTS, "  ﬁne ＡＢＣ ½ Ⅷ ", "㌔ｶﾞ ẞ Straße x​ y", "Ångström   ÅNGSTRÖM", None]
+    rows = pieces.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, decoded=True).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = (r.text or "").encode()
+        assert r.ids == own.processor.encode(r.text or "") and r.decoded == own.processor.decode(r.ids)
+        assert r.begins == sorted(r.begins) and r.ends == sorted(r.ends) and all(a <= b <= len(data) for a, b in zip(r.begins, r.ends, strict=True))
+        for i, a, b in zip(r.ids, r.begins, r.ends, strict=True):
+            piece = own.processor.id_to_piece(i).replace("▁", " ").strip()
+            if piece and not own.processor.is_byte(i) and not own.processor.is_unknown(i):
+                assert piece in own.processor.normalize(data[a:b].decode(errors="ignore")).replace("▁", " ")
