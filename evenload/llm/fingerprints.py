@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenload.llm.words import batches, mix64
+from evenload.plans.placement import decided
 from evenload.scratch import shuffle_partitions
 
 S, PARTS = 5, 3
@@ -185,10 +186,10 @@ def near_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
     bounds = sorted(set(rows.agg(F.percentile_approx("id", shares, 10_000).alias("b")).first().b or []))
-    span = F.lit(0)
-    if bounds:
-        below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col("id") < b))
-        span = F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(below)
+    # Descending ids: range i has the ids below i of the bounds; nulls come last.
+    falling = bounds[::-1]
+    below = decided(F.col("id"), falling, F.lit, lambda v, b: v >= F.lit(b))
+    span = F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(below)
     ranged = rows.withColumn("span", span.cast("int"))
     heads = sorted((r.span, r.id) for r in ranged.groupBy("span").agg(F.max("id").alias("id")).collect())  # a row a range
     before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
