@@ -39,3 +39,20 @@ def test_stages(spark):
     whole = corpus_pipeline.run(spark, DIR)
     assert ids(whole) == ids(after)
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in registry.QUERIES
+
+
+def test_odd_tables_pass_all_stages(spark, odd, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 0, 1), (5, 0, None), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        read = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES:
+            after = materialize(stage(spark, read, f"{tmp_path}/{name}"))
+            if stage_name != "pieces":
+                assert after.columns == read.columns and after.dtypes == read.dtypes
+            if stage_name in ("toxicity", "line dedup"):
+                assert after.count() == read.count()
+            read = after
+        assert (read.count() > 0) == (name == "odd")
+        assert set(read.columns) == {"doc_id", "source", "n_tokens", "ids", "begins", "ends"}

@@ -1,7 +1,9 @@
 """Secret scans: base spans against a plain scan, and what the battery adds."""
 
+import math
 import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -63,3 +65,88 @@ def test_odd_rows(odd):
     want = {r.doc_id: brute(r.text) for r in odd.collect() if r.doc_id}
     assert all([tuple(s) for s in r.spans if s.kind != "random"] == want[r.doc_id] for r in out if r.doc_id)
     assert secret_scan.scan(odd.limit(0)).count() == 0
+
+
+ALPHABETS = {
+    "hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base64": "0123456789+/ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base64url": "0123456789-_ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+}
+
+
+def tail(z):
+    """The normal distribution's upper tail, by the error function."""
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def encoding(body):
+    kinds = set(body)
+    lower, upper, digits = set(string.ascii_lowercase), set(string.ascii_uppercase), set(string.digits)
+    if kinds <= digits | set("abcdef") or kinds <= digits | set("ABCDEF"):
+        return "hex"
+    if kinds <= upper | set("234567") and kinds & set("234567"):
+        return "base32"
+    if (kinds <= lower | digits or kinds <= upper | digits) and kinds & digits:
+        return "base36"
+    return "base64" if kinds & set("+/") else "base64url" if kinds & set("-_") else "base62"
+
+
+def chance(body):
+    """Fisher's combination of the three tests, symbol by symbol."""
+    kind = encoding(body)
+    alphabet, own = ALPHABETS[kind], body.lower() if kind in ("hex", "base36") else body
+    v, k, n = [alphabet.index(c) for c in own], len(alphabet), len(own)
+    x2 = sum((v.count(s) - n / k) ** 2 / (n / k) for s in range(k))
+    by_symbol = tail((x2 - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    if k >= 62:
+        groups = [[s for s in range(k) if s >= k - 26], [s for s in range(k) if k - 52 <= s < k - 26], [s for s in range(k) if s < k - 52]]
+    else:
+        head = 26 if k == 32 else 10
+        groups = [[s for s in range(k) if s < head], [s for s in range(k) if s >= head]]
+    y2 = sum((sum(x in g for x in v) - n * len(g) / k) ** 2 / (n * len(g) / k) for g in groups)
+    by_class = math.exp(-y2 / 2) if len(groups) == 3 else math.erfc(math.sqrt(y2 / 2))
+    changes = sum((2 * a >= k) != (2 * b >= k) for a, b in zip(v, v[1:], strict=False))
+    runs = 2 * tail(abs(changes - (n - 1) / 2) / math.sqrt((n - 1) / 4))
+    mean, variance = (k - 1) / 2, (k * k - 1) / 12
+    serial = 2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / (variance * math.sqrt(n - 1))))
+    x = sum(math.log(max(1e-18, min(1, p))) for p in (2 * min(by_symbol, by_class), runs, serial))
+    return kind, int(math.log2(n)), math.exp(x) * (1 - x + x * x / 2)
+
+
+def added(texts, share=0.1):
+    """Random spans: by runs, chances of distinct runs, and the least cut of each stratum that keeps the false share."""
+    runs = [(i, m.start(), m.end(), m[0].rstrip("=")) for i, t in enumerate(texts) for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", t or "")]
+    tested = {body: chance(body) for *_, body in runs}
+    cuts = {}
+    for stratum in {t[:2] for t in tested.values()}:
+        ps = [p for *s, p in tested.values() if tuple(s) == stratum]
+        random_runs = 2 * sum(p >= 0.5 for p in ps)
+        for b in range(1, 11):
+            above = sum(p >= b / 20 for p in ps)
+            if above and 1 - random_runs * (1 - b / 20) / above <= share:
+                cuts[stratum] = b / 20
+                break
+    return {(i, a, z) for i, a, z, body in runs if tested[body][2] >= cuts.get(tested[body][:2], 2)}, tested
+
+
+def test_added_spans_equal_plain_loops(spark):
+    rng = random.Random(21)
+    words = ["_".join(rng.choice(["alpha", "beta", "gamma", "delta", "value", "index"]) for _ in range(4)) for _ in range(150)]
+    texts = [None, "", "=" * 40, "A" * 40 + "="]
+    for _ in range(400):
+        kind = rng.choice(list(ALPHABETS))
+        body = "".join(rng.choice(ALPHABETS[kind]) for _ in range(rng.choice([16, 20, 32, 40, 64, 100])))
+        texts.append(f"x {rng.choice(words)} ä𝔘 {body}{rng.choice(['', '=', '=='])} {rng.choice(words)}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, tested = added(texts)
+    found = secret_scan.places(F.coalesce("text", F.lit("")), secret_scan.RUN, secret_scan.RUN[:-6])
+    close = set()
+    for r in df.select("doc_id", secret_scan.battery(found).alias("runs")).collect():
+        for x in r.runs:
+            kind, octave, p = tested[(texts[r.doc_id])[x.start : x.stop].rstrip("=")]
+            assert (x.encoding, x.octave) == (kind, octave) and abs(x.p - p) < 0.01
+            if min(abs(p - b / 20) for b in range(1, 11)) < 0.01:  # the logistic tail may put it on the other side of a cut
+                close.add((r.doc_id, x.start, x.stop))
+    got = {(r.doc_id, s.start, s.stop) for r in secret_scan.scan(df).collect() for s in r.spans if s.kind == "random"}
+    assert len(want) > 200 and got - close == want - close
