@@ -116,7 +116,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
-        F.sha2(F.encode(F.array_join(F.zip_with("begins", "ends", lambda b, e: F.concat_ws(":", b.cast("string"), e.cast("string"))), ","), "UTF-8"), 256).alias("spans_sha256"),
+        F.lower(F.hex(F.xxhash64("begins", "ends"))).alias("spans_hash"),
     )
 
 
