@@ -5,7 +5,15 @@ kept. Toxic documents go; lines seen in an earlier document go; one document of
 each near-duplicate class stays; documents are repeated or left out as the mix
 draws them; the last stage encodes what is left.
 
-Sampled fits and hashed statistics are not SQL, so there is no ORACLE_SQL; the
+Defined cases: a null text is kept as null by the filters, is one text with all
+empty and null ones to near-dedup, has no words for the mix, which never draws it, and no
+pieces; a null id counts as one document after all others to line dedup and never stands
+for a class that has another id; rows that repeat id and text are copies, of which
+near-dedup keeps one; ties go to the smallest id; texts are read whole at any length; extra columns
+pass through the first four stages under any name; empty tables, of documents or labels, give
+empty results or reject nothing.
+
+Sampled fits, hashed draws and tokenizers are not SQL, so there is no ORACLE_SQL; the
 tests hold every stage against a brute-force version.
 """
 
