@@ -2,7 +2,7 @@
 
 Vectors with equal label and components are one node. A neighbour graph starts
 from neighbours in several orders of hyperplane signatures and is refined by
-joins: the neighbours of a node, and the nodes that have it as a neighbour,
+joins, which carry vectors in half precision: the neighbours of a node, and the nodes that have it as a neighbour,
 meet at it and become candidates for each other. Lists whose every entry
 reaches the threshold are saturated and double. Then
 
@@ -45,8 +45,8 @@ THRESHOLD = 0.93
 NEIGHBOURS, ORDERS, WINDOW, CELL, BLOCK = 10, 8, 6, 512, 512
 #: Block of the exact comparison of a whole label.
 WIDE_BLOCK = 1024
-#: Single precision may misplace a similarity by this much; double precision decides.
-SLACK = 1e-4
+#: Half precision may misplace a similarity by this much (two roundings of 2 ** -11 each); double precision decides.
+SLACK = 1e-3
 #: Vectors drawn by hash for the audit, at least (and at most twice as many), and slices of the rows they are compared with.
 PROBES, SLICES = 2000, 256
 EDGES = "node long, nbr long, sim float"
@@ -69,13 +69,28 @@ def unit(embedding: Column) -> Column:
     return scaled(embedding)
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float64) -> np.ndarray:
+def brief(unit_bytes: Column) -> Column:
+    """The vector in half precision: what the graph's rounds carry."""
+
+    @F.arrow_udf("binary")
+    def halved(column: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(row, np.float64).astype(np.float16).tobytes() for row in column.to_pylist()], pa.binary())
+
+    return halved(unit_bytes)
+
+
+def brief_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of vectors in half precision, for single-precision products."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of vectors from their bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1).astype(kind, copy=False)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows: _id, node or null) and (nodes: node, grp, copies, least, unit).
+    """(rows: _id, node or null) and (nodes: node, grp, copies, least, unit, brief).
 
     A node is named by 64 bits, seeded so that no two vectors that differ in 128 bits share a name.
     """
@@ -100,7 +115,8 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: s
                 F.min("_id").alias("least"),
                 (F.min("other") != F.max("other")).alias("mixed"),
             )
-            .select("node", F.xxhash64("label", F.size("v")).alias("grp"), "copies", "least", "mixed", unit(F.col("v")).alias("unit")),
+            .select("node", F.xxhash64("label", F.size("v")).alias("grp"), "copies", "least", "mixed", unit(F.col("v")).alias("unit"))
+            .withColumn("brief", brief(F.col("unit"))),
             "vectors",
         )
         if not nodes.where("mixed").limit(1).count():
@@ -120,11 +136,12 @@ def ordered_neighbours(nodes: DataFrame, n: int, first: int, orders: int) -> Dat
 
     @F.arrow_udf("array<bigint>")
     def signatures(column: pa.Array) -> pa.Array:
-        out: list[list[int]] = []
-        for row in column.to_pylist():
-            v = np.frombuffer(row, np.float64)
-            out.append([int(x) for x in (planes(len(v)) @ v > 0).reshape(orders, 32) @ weights])
-        return pa.array(out, pa.list_(pa.int64()))
+        vectors = [np.frombuffer(row, np.float64) for row in column.to_pylist()]
+        out = np.empty((len(vectors), orders), np.int64)
+        for d in {len(v) for v in vectors}:
+            at = [i for i, v in enumerate(vectors) if len(v) == d]
+            out[at] = (np.array([vectors[i] for i in at]) @ planes(d).T > 0).reshape(len(at), orders, 32) @ weights
+        return pa.array(list(out), pa.list_(pa.int64()))
 
     weights = 2 ** np.arange(31, -1, -1, dtype=np.int64)
     known: dict[int, np.ndarray] = {}
@@ -134,15 +151,18 @@ def ordered_neighbours(nodes: DataFrame, n: int, first: int, orders: int) -> Dat
             known[d] = np.concatenate([np.random.default_rng([d, first + t]).normal(size=(32, d)) for t in range(orders)])
         return known[d]
 
-    dealt = (
-        nodes.select("node", "grp", "unit", F.posexplode(signatures(F.col("unit"))).alias("ord", "sig"))
-        .withColumn("cell", F.shiftright("sig", 32 - bits) if bits else F.lit(0).cast("long"))
-    )
+    # Signatures are written once: counting the cells reads no vector, and the dealing below is the only exchange of them.
+    signed = materialize(nodes.select("node", "grp", "brief", signatures(F.col("unit")).alias("sigs")), "signatures")
+
+    def dealt_by_cell(*carried: str) -> DataFrame:
+        spread = signed.select("grp", *carried, F.posexplode("sigs").alias("ord", "sig"))
+        return spread.withColumn("cell", F.shiftright("sig", 32 - bits) if bits else F.lit(0).cast("long"))
+
     # A family of very close vectors may fill a cell: beyond two sizes it is dealt at random, differently in each order.
-    crowded = (
-        dealt.groupBy("grp", "ord", "cell").agg(F.count("*").alias("_rows")).where(F.col("_rows") > 2 * CELL)
+    crowded = materialize(
+        dealt_by_cell().groupBy("grp", "ord", "cell").agg(F.count("*").alias("_rows")).where(F.col("_rows") > 2 * CELL), "crowded"
     )
-    dealt = dealt.join(crowded, ["grp", "ord", "cell"], "left").withColumn(
+    dealt = dealt_by_cell("node", "brief").join(crowded, ["grp", "ord", "cell"], "left").withColumn(
         "part", F.expr(f"coalesce(pmod(xxhash64(node, ord), cast(ceil(_rows / {CELL}D) as long)), 0L)")
     )
     keys = ["grp", "ord", "cell", "part"]
@@ -151,7 +171,7 @@ def ordered_neighbours(nodes: DataFrame, n: int, first: int, orders: int) -> Dat
         for table in by_group(parts, keys):
             if table.num_rows < 2:
                 continue
-            u, name = matrix(table.column("unit"), np.float32), table.column("node").to_numpy()
+            u, name = brief_matrix(table.column("brief")), table.column("node").to_numpy()
             sims = np.full((len(u), 2 * WINDOW), -2, np.float32)
             nbrs = np.zeros((len(u), 2 * WINDOW), np.int64)
             for o in range(1, min(WINDOW, len(u) - 1) + 1):
@@ -164,7 +184,7 @@ def ordered_neighbours(nodes: DataFrame, n: int, first: int, orders: int) -> Dat
             yield _edges(np.repeat(name, ok.sum(1)), np.take_along_axis(nbrs, best, 1)[ok], s[ok])
 
     return (
-        dealt.repartition(*keys).sortWithinPartitions(*keys, "sig", "node").select(*keys, "node", "unit").mapInArrow(near, EDGES)
+        dealt.repartition(*keys).sortWithinPartitions(*keys, "sig", "node").select(*keys, "node", "brief").mapInArrow(near, EDGES)
     )
 
 
@@ -191,15 +211,15 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     # A hub meets only so many of those that list it; families are completed exactly afterwards.
     some = meet.withColumn("_r", F.expr("row_number() over (partition by at order by sim desc, node)")).where(f"_r <= {4 * NEIGHBOURS}")
-    carried = some.join(nodes.select("node", "unit"), "node").join(floor, "node", "left").select(
-        "at", "node", "unit", F.coalesce("floor", F.lit(-1.0)).cast("float").alias("floor")
+    carried = some.join(nodes.select("node", "brief"), "node").join(floor, "node", "left").select(
+        "at", "node", "brief", F.coalesce("floor", F.lit(-1.0)).cast("float").alias("floor")
     )
 
     def local(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(parts, ["at"]):
             if table.num_rows < 2:
                 continue
-            u, name = matrix(table.column("unit"), np.float32), table.column("node").to_numpy()
+            u, name = brief_matrix(table.column("brief")), table.column("node").to_numpy()
             sims = u @ u.T
             np.fill_diagonal(sims, -2)
             sims[sims <= table.column("floor").to_numpy()[:, None]] = -2
