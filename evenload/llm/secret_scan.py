@@ -53,6 +53,9 @@ ALPHABETS = {
 }
 BINS = 20
 
+#: Matches that are listed at a time.
+RUN_OF = 256
+
 _PLACES = "array<struct<start: int, stop: int, found: string>>"
 
 
@@ -64,21 +67,40 @@ def places(text: Column, pattern: str, likely: str, keep: int = 0, shortest: int
     """
     # The text between matches and the matches give all positions; neither pattern matches an empty string.
     hit = F.regexp_like(text, F.lit(likely))
-    between = F.when(hit, F.split(text, pattern, -1))
-    found = F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    group = F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(keep)))
-    rows = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("f"), group.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("out"))
+    # An array of one element binds the matches to a name, so a pattern runs twice over the text and not once for each use.
+    cut = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    empty = F.array().cast(_PLACES)
+
+    def long_enough(match: Column) -> Column:
+        # A match alone matches as it did in its text, since no pattern looks around.
+        return F.length(F.regexp_extract(match, pattern, keep)) >= shortest if shortest else F.lit(True)
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["b"])
-        end = begin + F.length(x["f"])
-        place = F.struct(begin.alias("start"), end.alias("stop"), x["f"].alias("found"))
-        more = F.when(F.length(x["g"]) >= shortest, F.concat(acc["out"], F.array(place))).otherwise(acc["out"])
+        begin = acc["at"] + F.length(x["between"])
+        end = begin + F.length(x["found"])
+        place = F.struct(begin.alias("start"), end.alias("stop"), x["found"].alias("found"))
+        more = F.when(long_enough(x["found"]), F.concat(acc["out"], F.array(place))).otherwise(acc["out"])
         return F.struct(end.alias("at"), more.alias("out"))
 
-    listed = F.aggregate(rows, start, step, lambda acc: acc["out"])
-    return F.when(hit & (F.size(found) > 0), listed).otherwise(F.array().cast(_PLACES))
+    def listed(rows: Column) -> Column:
+        # Lists grow by copying, so they grow to RUN_OF places and are strung together then.
+        def stretch(acc: Column, nth: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), empty.alias("out"))
+            return F.transform(
+                F.array(F.aggregate(F.slice(rows, nth * RUN_OF + 1, F.lit(RUN_OF)), start, step)),
+                lambda own: F.struct(own["at"].alias("at"), F.concat(acc["outs"], F.array(own["out"])).alias("outs")),
+            )[0]
+
+        stretches = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN_OF).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACES}>").alias("outs"))
+        return F.flatten(F.aggregate(stretches, start, stretch, lambda acc: acc["outs"]))
+
+    def zipped(pieces: Column) -> Column:
+        found = pieces["found"]
+        rows = F.arrays_zip(F.slice(pieces["between"], F.lit(1), F.size(found)).alias("between"), found.alias("found"))
+        return F.when(F.size(found) > 0, F.transform(F.array(rows), listed)[0]).otherwise(empty)
+
+    return F.when(hit, F.transform(F.array(cut), zipped)[0]).otherwise(empty)
 
 
 def upper_tail(z: Column) -> Column:

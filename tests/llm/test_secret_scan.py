@@ -150,3 +150,13 @@ def test_added_spans_equal_plain_loops(spark):
                 close.add((r.doc_id, x.start, x.stop))
     got = {(r.doc_id, s.start, s.stop) for r in secret_scan.scan(df).collect() for s in r.spans if s.kind == "random"}
     assert len(want) > 200 and got - close == want - close
+
+
+def test_many_matches_of_one_text(spark):
+    sizes = [1, secret_scan.RUN_OF, secret_scan.RUN_OF + 1, 3 * secret_scan.RUN_OF + 5]
+    texts = ["é " + " ".join(f"token={'k' * (7 + i % 3)}𝔘" for i in range(n)) for n in sizes]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = secret_scan.places(F.col("text"), secret_scan.ASSIGN, "[:=]", 1, 8)
+    for text, r in zip(texts, df.select(found.alias("p")).collect(), strict=True):
+        want = [(m.start(), m.end(), m.group()) for m in re.finditer(r"token=(k+)", text) if len(m.group(1)) >= 8]
+        assert [(p.start, p.stop, p.found) for p in r.p] == want
