@@ -110,3 +110,13 @@ def test_short_of_the_aim_all_pairs_are_compared(spark, monkeypatch):
     got = out.collect()
     assert sorted(((r._id, r.n_links, r.component_id) for r in got), key=str) == brute(rows)
     assert recall == 1 and {r.recall for r in got} == {1.0}
+
+
+def test_half_precision_stays_within_the_slack(spark):
+    rng = np.random.default_rng(9)
+    rows = [(d, np.full(d, 1.0).tolist(), 1, "x") for d in range(1, 400)]  # equal parts round the same way: the most that errors add up to
+    rows += [(k, rng.normal(size=8).tolist(), 1, "x") for k in range(50)]
+    nodes = spark.createDataFrame(rows, SCHEMA).select(near_vectors.unit("embedding").alias("unit")).select("unit", near_vectors.brief("unit").alias("brief"))
+    for r in nodes.collect():
+        exact, half = np.frombuffer(r.unit), np.frombuffer(r.brief, np.float16).astype(np.float32)
+        assert abs(float(half @ half) - exact @ exact) < near_vectors.SLACK
