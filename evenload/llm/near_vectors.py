@@ -183,9 +183,11 @@ def ordered_neighbours(nodes: DataFrame, n: int, first: int, orders: int) -> Dat
             ok = s > -2
             yield _edges(np.repeat(name, ok.sum(1)), np.take_along_axis(nbrs, best, 1)[ok], s[ok])
 
-    return (
-        dealt.repartition(*keys).sortWithinPartitions(*keys, "sig", "node").select(*keys, "node", "brief").mapInArrow(near, EDGES)
-    )
+    sorted_cells = dealt.repartition(*keys).sortWithinPartitions(*keys, "sig", "node").select(*keys, "node", "brief")
+    found = materialize(sorted_cells.mapInArrow(near, EDGES), "ordered")
+    discard(signed)
+    discard(crowded)
+    return found
 
 
 def trimmed(edges: DataFrame, lists: DataFrame | None, threshold: float) -> DataFrame:
@@ -201,6 +203,14 @@ def trimmed(edges: DataFrame, lists: DataFrame | None, threshold: float) -> Data
     return materialize(ranked.where("_r <= _k").drop("_r"), "graph")
 
 
+def succeeded(edges: DataFrame, lists: DataFrame | None, threshold: float) -> DataFrame:
+    """The next generation of lists; the files of the last one go."""
+    after = trimmed(edges, lists, threshold)
+    if lists is not None:
+        discard(lists)
+    return after
+
+
 def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates from neighbours of neighbours that beat the last entry of a node's list."""
     floor = graph.groupBy("node").agg(F.expr("if(count(*) < max(_k), -1f, min(sim))").alias("floor"))
@@ -341,9 +351,10 @@ def near_vectors(
     while True:
         more = ordered_neighbours(nodes, n, orders, max(ORDERS, orders))
         orders += max(ORDERS, orders)
-        graph = trimmed(more if graph is None else more.unionByName(graph.drop("_k")), graph, threshold)
+        graph = succeeded(more if graph is None else more.unionByName(graph.drop("_k")), graph, threshold)
+        discard(more)
         for _ in range(rounds):
-            graph = trimmed(descend(graph, nodes).unionByName(graph.drop("_k")), graph, threshold)
+            graph = succeeded(descend(graph, nodes).unionByName(graph.drop("_k")), graph, threshold)
         counted, forest = exact_links(graph, nodes, threshold)
         reached = audited(nodes, n, counted, threshold, slices)
         if reached is None or reached >= recall or orders >= most_orders:
