@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenload.config import PlanConfig
@@ -91,6 +91,18 @@ def combine_by_key(df: DataFrame, keys: Sequence[str], value: str, zero: Column,
     return placed_aggregate(df, keys, [folded.alias("result")], "combine", cfg)
 
 
+def ordered_sum(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+    """(keys, value): each key's values added one by one in an order that has no ties.
+
+    Sums of doubles depend on the order of their terms; these do not depend on how rows lie. So nothing
+    is merged before the exchange, and a key's rows are streamed by one task.
+    """
+    by = Window.partitionBy(*keys).orderBy(*order)
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = df.select(*keys, F.sum(value).over(whole).alias(value), F.row_number().over(by).alias("_nth"))
+    return summed.where("_nth = 1").drop("_nth")
+
+
 def subtract_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], cfg: PlanConfig | None = None) -> DataFrame:
     """Rows of left whose key right does not have."""
     return placed_join(left, right, keys, "left_anti", cfg)

@@ -44,6 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_order(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with (_file, _row), whose order is that of its rows."""
+    return table(spark, sf_dir, name).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, qty): lineitem by the hot key."""
     return table(spark, sf_dir, "lineitem").select(F.expr(HOT).cast("long").alias("k"), F.col("l_quantity").alias("qty"))
@@ -676,8 +681,13 @@ def bernoulli_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     select size, code, case when code = 0 then 0 else floor(pow(1.1::double, code::double)) end::bigint as decoded from c""",
 )
 def size_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes as powers of a base in one byte, and back."""
-    s = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.floor(F.sum("o_totalprice")).cast("long").alias("size"))
+    """Sizes as powers of a base in one byte, and back.
+
+    A sum of doubles that ends near a whole number falls on either side of it by the order of its
+    terms, so the terms are added in the order of the table, as the SQL does in one thread.
+    """
+    sums = placed.ordered_sum(in_order(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", ["_file", "_row"])
+    s = sums.select(F.floor("o_totalprice").cast("long").alias("size"))
     coded = s.select("size", scalars.size_code(F.col("size")).alias("code"))
     return coded.withColumn("decoded", scalars.size_decode(F.col("code")))
 

@@ -6,6 +6,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 
 from evenload import queries
@@ -23,6 +24,30 @@ def test_query(spark, matches, name):
         assert df.columns and df.count() > 0
 
 
+def test_size_code_adds_in_the_order_of_the_table(spark, tmp_path):
+    # 2^53 + 1 + 1 is 2^53 one by one, and 2 more if the ones are added first; so are the cents of customer 2, around 1.
+    files = {
+        "part-10": [(1, 2.0**53), (2, 0.3), (3, None), (None, 7.5)],
+        "part-9": [(1, 1.0), (1, 1.0), (2, 0.6), (2, 0.1), (3, 2.5), (4, None), (None, 1.5)],
+    }
+    (tmp_path / "orders.parquet").mkdir()
+    con = duckdb.connect(config={"threads": 1})
+    for name, terms in files.items():
+        con.execute("create or replace table t (o_custkey bigint, o_totalprice double)")
+        con.executemany("insert into t values (?, ?)", terms)
+        con.sql(f"copy t to '{tmp_path}/orders.parquet/{name}.parquet' (format parquet)")
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    key = lambda r: [(v is None, v or 0) for v in r]
+    want = sorted(con.sql(queries.ORACLES["size_code"]).fetchall(), key=key)
+    for most in ("1", "128m"):  # a task for each file, or one for both
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            got = queries.QUERIES["size_code"](spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted((tuple(r) for r in got), key=key) == want
+
+
 def test_plans_even_out(spark):
     for strategy in ("first_fit", "best_fit", "minmax"):
         got = queries.QUERIES[f"{strategy}_balance"](spark, DIR).collect()
